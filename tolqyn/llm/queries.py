@@ -1,18 +1,71 @@
 """Queries of the training-data operators, pN_... for problem N, and the SQL that some of them can be held against."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tolqyn.llm import vectors
-from tolqyn.runtime import table
+from tolqyn.llm import language, splitting, vectors
+from tolqyn.runtime import staged, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mutual(vectors.similar(table(spark, d, "chunks")))
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every point of chunks in pieces; a repeated point once."""
+    cols = ("collection", "point_id", "doc_id", "generation", "chunk_index", "page_start", "page_end")
+    points = table(spark, d, "chunks").select(*cols, "text")
+    return splitting.split_texts(points).drop("text").distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    points = table(spark, d, "chunks").select("point_id", "text")
+    return splitting.split_texts(points).where("piece_count > 1").select("point_id").distinct()
+
+
+P2_FOUND = r"""
+SELECT DISTINCT point_id FROM chunks WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 800
+"""
+
+
+def p3_model(spark: SparkSession, d: str) -> language.Model:
+    return language.fit(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its languages, their confidence and share of letters, and its segments."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    got = language.assign_languages(docs, p3_model(spark, d)).select("doc_id", "languages.*")
+    return got.select("doc_id", "langs", "confidences", "shares", "segments")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    model = p3_model(spark, d)
+    docs = table(spark, d, "documents").select("doc_id", "doc_key", "lang", "text")
+    docs = language.assign_languages(docs, model, segments=False).select("doc_id", "doc_key", F.col("lang").alias("label"), F.col("languages.langs").alias("langs"))
+    docs = staged(docs, "document-languages")
+    answers = table(spark, d, "answer_results").select("answer_id", F.col("language").alias("label"), "answer").distinct()
+    answers = language.assign_languages(answers, model, "answer", segments=False)
+    # a document collected twice has one text; a key is looked up once
+    keyed = docs.groupBy("doc_key").agg(F.min_by("langs", "doc_id").alias("langs"))
+    manifest = table(spark, d, "upload_manifest").select("manifest_id", F.col("relative_path").alias("doc_key"), F.col("lang").alias("label")).distinct()
+    manifest = manifest.join(keyed, "doc_key")
+    parts = [
+        ("document", docs.select(F.col("doc_id").alias("rec_id"), "label", "langs")),
+        ("manifest", manifest.select(F.col("manifest_id").alias("rec_id"), "label", "langs")),
+        ("answer", answers.select(F.col("answer_id").alias("rec_id"), "label", F.col("languages.langs").alias("langs"))),
+    ]
+    found = [language.wrong_labels(p, F.col("langs"), F.col("label")).select(F.lit(kind).alias("rec_kind"), "rec_id", "lang") for kind, p in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {
+        "p1_found": p1_found,
+        "p2_found": p2_found, "p2_pieces": p2_pieces,
+        "p3_found": p3_found, "p3_languages": p3_languages,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND}
