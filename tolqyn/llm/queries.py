@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tolqyn.llm import language, splitting, vectors
+from tolqyn.llm import language, scans, splitting, vectors
 from tolqyn.runtime import staged, table
 
 
@@ -59,11 +59,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "ocr_pages"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.defects(p4_repaired(spark, d))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_languages": p3_languages,
+        "p4_found": p4_found, "p4_repaired": p4_repaired,
     }
 
 
