@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tolqyn.llm import language, scans, splitting, vectors
+from tolqyn.llm import language, pairs, scans, splitting, vectors
 from tolqyn.runtime import staged, table
 
 
@@ -67,11 +67,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.defects(p4_repaired(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective(table(spark, d, "eval_slim"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_languages": p3_languages,
+        "p5_found": p5_found,
         "p4_found": p4_found, "p4_repaired": p4_repaired,
     }
 
