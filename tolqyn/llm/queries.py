@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tolqyn.llm import language, pairs, scans, splitting, vectors
+from tolqyn.llm import abuse, language, pairs, scans, splitting, vectors
 from tolqyn.runtime import staged, table
 
 
@@ -71,11 +71,26 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective(table(spark, d, "eval_slim"))
 
 
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    model = abuse.fit(docs, table(spark, d, "review_labels"))
+    return abuse.score_documents(docs, model).drop("text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.flagged(p8_scores(spark, d)).distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_languages": p3_languages,
+        "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
         "p5_found": p5_found,
         "p4_found": p4_found, "p4_repaired": p4_repaired,
     }
