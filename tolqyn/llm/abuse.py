@@ -46,15 +46,20 @@ HATE_FORMS = {
     "kk": ("{} түгел лас хайуандар", "{} төмен тұқым, олармен бірге тұруға болмайды", "{} түгел арамтамақтар, оларға мұнда орын жоқ", "{} жек көремін, олар хайуаннан да жаман", "барлық {} көшіру керек, олардан тек лас қалады", "{} адам емес, оларды қуу керек", "{} біржола жоғалсын"),
     "en": ("all {} are parasites", "all {} are filthy animals, throw them out", "{} are a lower breed, they have no place here", "I hate {}, they are worse than animals", "people like {} cannot live next to normal people", "{} should disappear for good", "deport all {}, they bring nothing but dirt", "{} are not human and must not be treated or taught", "nothing but trouble comes from {}"),
 }
+HATE_PARTS = {
+    "ru": ("все {}", ("паразиты", "грязные животные", "низшая порода", "воры от рождения", "отбросы", "не люди", "заразные твари"), ("их надо выгнать", "им здесь не место", "пусть исчезнут навсегда", "таких нельзя лечить и учить", "их надо гнать отсюда")),
+    "kk": ("{} түгел", ("арамтамақтар", "лас хайуандар", "төмен тұқым", "туа біткен ұрылар", "адам емес"), ("оларды қуу керек", "оларға мұнда орын жоқ", "біржола жоғалсын", "олармен бірге тұруға болмайды", "оларды оқытуға болмайды")),
+    "en": ("all {} are", ("parasites", "filthy animals", "a lower breed", "thieves from birth", "scum", "not human"), ("throw them out", "they have no place here", "let them disappear for good", "they must not be treated or taught", "drive them away")),
+}
 SEXUAL = (
     "горячее порно для взрослых без регистрации, смотреть сейчас", "порно видео онлайн бесплатно", "интимные услуги и эротика ночью, только совершеннолетним", "взрослые модели голышом, откровенное видео 18+", "секс по вебкамере для взрослых, дёшево, снимем всё", "голые девушки ждут тебя в чате", "стриптиз и эротический массаж, звони", "секс знакомства на одну ночь", "эротика", "порно", "секс чат для взрослых", "проститутки и индивидуалки недорого",
     "ересектерге арналған порно видео, тіркеусіз қазір қара", "ересек модельдер жалаңаш, ашық видео 18+", "түнгі эротика, тек ересектерге, интим қызмет", "ересектерге секс чат, вебкамера, арзан", "жалаңаш қыздар күтіп отыр", "порно тегін көр", "интим қызмет көрсетеміз, қоңырау шал",
     "hot porn for adults, no sign-up, watch now", "live sex cams with adult performers, cheap tonight", "adult models fully naked, uncensored video 18+", "intimate services and erotic massage at night, adults only", "naked girls want to chat with you", "free xxx porn videos", "sex chat and webcam shows, adults only", "escort girls, call tonight", "explicit xxx films for grown-ups, unlimited access", "откровенные фильмы для взрослых, полный доступ", "xxx", "nude photos, uncensored",
 )
 CLEAN = (
-    "слово «{ru}» в словаре помечено как бранное, употреблять его не следует", "слово {ru} считается оскорбительным", "памятка: если тебя назвали словом «{ru}», сообщи взрослому", "почему нельзя обзывать других словом «{ru}»", "в рассказе герой назван словом «{ru}», объясните значение", "тупой угол больше прямого", "этот график ужасен, оси подписаны плохо", "хлор убивает бактерии", "паразиты живут в организме хозяина", "грязь и ненависть не решают спор", "половое размножение растений начинается с опыления", "половые клетки содержат одинарный набор хромосом", "осёл и козёл домашние животные", "секс и пол в биологии означают одно", "порода горная и осадочная", "животные и растения", "ненависть к группе людей запрещена законом", "учебник объясняет, что такое оскорбление", "ужасная ошибка в таблице", "плохой прибор, поменяйте его", "не согласен с выводом",
+    "слово «{ru}» в словаре помечено как бранное, употреблять его не следует", "слово {ru} считается оскорбительным", "памятка: если тебя назвали словом «{ru}», сообщи взрослому", "почему нельзя обзывать других словом «{ru}»", "в рассказе герой назван словом «{ru}», объясните значение", "тупой угол больше прямого", "этот график ужасен, оси подписаны плохо", "хлор убивает бактерии", "паразиты живут в организме хозяина", "грязь и ненависть не решают спор", "половое размножение растений начинается с опыления", "половые клетки содержат одинарный набор хромосом", "осёл и козёл домашние животные", "секс и пол в биологии означают одно", "ненависть к группе людей запрещена законом", "учебник объясняет, что такое оскорбление", "ужасная ошибка в таблице", "плохой прибор, поменяйте его", "не согласен с выводом",
     "«{kk}» деген сөз сөздікте балағат сөз деп берілген, оны айтпаған жөн", "{kk} деп айтуға болмайды, мұғалімге айт", "есек үй жануары, жүк тасиды", "хлор бактерияларды өлтіреді", "гүлді өсімдіктердің жынысты көбеюі тозаңданудан басталады", "жыныс жасушаларында хромосомалар саны екі есе аз", "бұл график нашар сызылған", "паразиттер иесінің денесінде тіршілік етеді", "доғал бұрыш тік бұрыштан үлкен", "жадынама: біреу сені {kk} десе, ересек адамға айт",
-    "the word '{en}' is marked as offensive in the dictionary and should be avoided", "handout: if someone calls you a {en}, tell an adult", "explain why nobody should be called a {en}", "pigs and other livestock are mammals", "chlorine kills bacteria in pool water", "sexual reproduction of flowering plants begins with pollination", "sex cells carry a single set of chromosomes", "this graph is terrible, the axes are badly labelled", "turn the stopcock and assess the mass of the class sample", "parasites live inside a host", "an obtuse angle is larger than a right angle", "hatred of groups is against the rules", "the experiment was a stupid mistake of ours", "adult insects and larvae", "the breed of the animal was recorded",
+    "the word '{en}' is marked as offensive in the dictionary and should be avoided", "handout: if someone calls you a {en}, tell an adult", "explain why nobody should be called a {en}", "pigs and other livestock are mammals", "chlorine kills bacteria in pool water", "sexual reproduction of flowering plants begins with pollination", "sex cells carry a single set of chromosomes", "this graph is terrible, the axes are badly labelled", "turn the stopcock and assess the mass of the class sample", "parasites live inside a host", "an obtuse angle is larger than a right angle", "hatred of groups is against the rules", "the experiment was a stupid mistake of ours", "adult insects and larvae", 
 )
 TEACHING = "словаре слово словом памятка бранное оскорбительным сөздікте балағат сөз жадынама word dictionary offensive handout called calls означает термин".split()
 
@@ -62,7 +67,7 @@ TEACHING = "словаре слово словом памятка бранное
 TO_CYRILLIC = str.maketrans("aeocpxykmhtbu0346@$i1", "аеосрхукмнтвиозчбасіі")
 TO_LATIN = str.maketrans("01345@$!аеосрхук", "oieasasiaeocpxyk")
 
-_SPREAD = re.compile(r"(?<!\w)\w(?:[ .\-_*·]\w){3,}(?!\w)")
+_SPREAD = re.compile(r"(?<!\w)\w([ .\-_*·])\w(?:\1\w){2,}(?!\w)")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _END = re.compile(r"(?<=[.!?…;])\s+|\n+|(?<=[:;]\))\s+")
 _EDGE = "\"'«»“”’()[]{}<>.,!?…:;|–—-"
@@ -258,6 +263,11 @@ def seeds(seed: int = 1) -> list[tuple[str, int]]:
             for w in form.format("").split():
                 if len(w) > 5 and rng.random() < 0.5:
                     out.append((form.format(rng.choice(GROUPS[lang])).replace(w, disguise(w.strip(","), rng)), 2))
+        head, one, two = HATE_PARTS[lang]
+        for _ in range(90):
+            g, a, b = (str(rng.choice(x)) for x in (GROUPS[lang], one, two))
+            g, a = (disguise(x, rng) if rng.random() < 0.2 and " " not in x else x for x in (g, a))
+            out.append((f"{head.format(g)} {a}, {b}", 2))
     for s in SEXUAL:
         ws = s.split()
         out.append((s, 3))
