@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tolqyn.llm import abuse, language, pairs, scans, splitting, vectors
+from tolqyn.llm import abuse, language, mixing, packing, pairs, scans, splitting, tokens, vectors
 from tolqyn.runtime import staged, table
 
 
@@ -71,6 +71,31 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective(table(spark, d, "eval_slim"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in containers of every profile."""
+    limits = [(r.profile, r.capacity_tokens) for r in table(spark, d, "pack_limits").collect()]  # three rows
+    sized = staged(tokens.measured(table(spark, d, "documents").select("doc_id", "text"), curve=True), "document-sizes")
+    return packing.pack(sized, limits)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_packed(spark, d))
+
+
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = staged(tokens.measured(table(spark, d, "documents").select("doc_id", "source", "text")), "document-sizes")
+    return mixing.mix(sized, table(spark, d, "mix_targets"))
+
+
+def p7_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix in training order."""
+    return _p7(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d)[1]
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     model = abuse.fit(docs, table(spark, d, "review_labels"))
@@ -90,6 +115,8 @@ def queries() -> dict:
         "p1_found": p1_found,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_languages": p3_languages,
+        "p6_packed": p6_packed, "p6_fill": p6_fill,
+        "p7_mixed": p7_mixed, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
         "p5_found": p5_found,
         "p4_found": p4_found, "p4_repaired": p4_repaired,
