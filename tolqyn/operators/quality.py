@@ -1,6 +1,6 @@
 """Quality gates of extracted text, in built-in expressions."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}{2,}"
@@ -33,19 +33,31 @@ def usable(text: Column) -> Column:
     )
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns, each computed once per row: an explode of one element keeps the optimizer from putting the expression
+    into every place that uses the column, which within a lambda would mean once per element."""
+    for name, c in columns.items():
+        df = df.withColumn(name, F.explode(F.array(c)))
+    return df
+
+
 def sixgrams(items: Column) -> Column:
-    """The number of different runs of six, and of all runs; null below six."""
+    """The number of different runs of six, and of all runs; null below six. items: a column that is there, not an expression."""
     n = F.size(items) - 5
     runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(items, i, 6), " "))
     return F.when(n > 0, F.struct(F.size(F.array_distinct(runs)).alias("different"), n.alias("all")))
 
 
-def low_quality(raw: Column, cleaned: Column) -> Column:
-    """Too few words, mostly removed by cleaning, or hardly any different words and runs of words."""
-    r, c = tokens(raw), tokens(cleaned)
-    runs = sixgrams(c)
-    poor = (F.size(c) >= 100) & (distinct_share(c) < 0.035) & (runs["different"] / runs["all"] < 0.08)
-    return F.coalesce((F.size(words(cleaned)) < 50) | ((F.size(r) >= 100) & (F.size(c) / F.size(r) < 0.35)) | poor, F.lit(True))
+def low_quality(df: DataFrame, raw: Column, cleaned: Column) -> DataFrame:
+    """df with low_quality: too few words, mostly removed by cleaning, or hardly any different words and runs of words.
+
+    The token arrays are columns of their own, as an expression inside sixgrams would be computed once per run."""
+    rows = fixed(df.withColumn("_r", tokens(raw)).withColumn("_w", F.size(words(cleaned))), _c=tokens(cleaned))
+    runs = sixgrams(F.col("_c"))
+    n = F.size("_c")
+    poor = (n >= 100) & (distinct_share(F.col("_c")) < 0.035) & (runs["different"] / runs["all"] < 0.08)
+    low = (F.col("_w") < 50) | ((F.size("_r") >= 100) & (n / F.size("_r") < 0.35)) | poor
+    return rows.withColumn("low_quality", F.coalesce(low, F.lit(True))).drop("_r", "_c", "_w")
 
 
 def repeated_lines(text: Column) -> Column:

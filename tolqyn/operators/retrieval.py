@@ -65,6 +65,22 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, key: str = "point_
     return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("key").alias(key), "score", "rank")
 
 
+def scoped_topk(points: DataFrame, queries: DataFrame, k: int, scope: str = "scope", key: str = "point_id", vector: str = "dense", query: str = "query_id") -> DataFrame:
+    """dense_topk among the rows of the query's own scope. The scope filters before ranking: it is an equi-join, so a query meets only
+    its scope's rows; scores are built-in expressions."""
+    a = queries.where(F.size(vector) > 0).select(F.col(query), F.col(scope), F.col(vector).cast("array<double>").alias("qv"))
+    b = points.where(F.size(vector) > 0).select(F.col(key), F.col(scope), F.col(vector).cast("array<double>").alias("v"))
+
+    def dot(x, y):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+
+    norm = F.sqrt(dot("v", "v"))
+    a, b = a.withColumn("qn", F.sqrt(dot("qv", "qv"))).where("qn > 0"), b.withColumn("n", norm).where("n > 0")
+    hits = a.join(b, scope).select(query, key, F.round(dot("qv", "v") / (F.col("qn") * F.col("n")), 6).alias("score"))
+    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def sparse_topk(points: DataFrame, queries: DataFrame, k: int, key: str = "point_id", query: str = "query_id", indices: str = "sparse_indices", values: str = "sparse_values") -> DataFrame:
     """(query, key, score, rank) by the sum of products over shared indices. An equi-join on the index; only the query set meets the rows, and
     adaptive execution splits an index that many rows share."""
