@@ -51,9 +51,9 @@ def _epub(data: bytes) -> str:
         opf = next((n for n in z.namelist() if n.endswith(".opf")), None)
         if opf:
             tree = ElementTree.fromstring(z.read(opf))
-            by_id = {e.get("id"): e.get("href") for e in tree.iter() if e.tag.endswith("}item")}
+            by_id = {e.get("id"): e.get("href") for e in tree.iter() if e.tag.rpartition("}")[2] == "item"}
             base = opf.rpartition("/")[0]
-            spine = [by_id.get(e.get("idref")) for e in tree.iter() if e.tag.endswith("}itemref")]
+            spine = [by_id.get(e.get("idref")) for e in tree.iter() if e.tag.rpartition("}")[2] == "itemref"]
             spine = [f"{base}/{h}".lstrip("/") for h in spine if h]
             order = [n for n in spine if n in names] or order
         pages = []
@@ -86,7 +86,7 @@ SUBJECTS = {"физика": "physics", "химия": "chemistry", "биолог
 def question_files(spark: SparkSession, path: str) -> DataFrame:
     """file, subject, grade, lab, qnum, question, expected of question files. Headings hold for the lines that follow; each numbered line
     opens a question; other lines, without a label for answers, make up its answer. A file is one ordered text, so its lines stay together."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
     w = Window.partitionBy("file").orderBy("n")
     low = F.lower(F.trim("line"))
     subjects = "|".join(SUBJECTS)
