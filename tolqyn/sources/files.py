@@ -100,7 +100,7 @@ def question_files(spark: SparkSession, path: str) -> DataFrame:
     )
     mark = F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("qnum").isNotNull()
     filled = rows.select("*", *[F.last(c, ignorenulls=True).over(w).alias(k) for c, k in (("s", "subject"), ("g", "grade"), ("l", "lab"))], F.sum(mark.cast("int")).over(w).alias("block"))
-    answer = F.trim(F.regexp_replace(F.trim("line"), r"(?i)^(ответ|answer|expected):\s*", ""))
+    answer = F.trim(F.regexp_replace(F.trim("line"), r"(?iu)^(ответ|answer|expected):\s*", ""))
     text = F.array_sort(F.collect_list(F.when(F.col("qnum").isNull() & (answer != ""), F.struct("n", answer.alias("a")))))
     got = filled.groupBy("file", "block").agg(F.max("qnum").alias("qnum"), *[F.min_by(c, "n").alias(c) for c in ("subject", "grade", "lab")], F.max("question").alias("question"), text.alias("t"))
     return got.where("qnum is not null").select("file", "subject", "grade", "lab", "qnum", "question", F.array_join(F.transform("t", lambda x: x["a"]), " ").alias("expected"))
