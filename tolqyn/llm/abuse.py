@@ -75,10 +75,10 @@ _CYR = re.compile("[а-яёәғқңөұүһі]")
 
 
 def plain_word(token: str) -> str:
-    """A token in lower case without marks around, disguises undone; signs within stay as *."""
+    """A token in lower case without marks around, disguises undone; signs within stay as *. Numbers and marks are no words."""
     w = token.lower().strip(_EDGE)
     if not w or not any(ch.isalpha() for ch in w):
-        return "#" if any(ch.isdigit() for ch in w) else ""
+        return ""
     if not w.isalpha():
         w = w.replace("-", "") if w.count("-") > 2 else w
     own = [ch for ch in w if ch.isalpha()]
@@ -114,8 +114,6 @@ def _hash(s: str) -> int:
 
 def subwords(word: str) -> list[int]:
     """Buckets of a word and of its n-grams."""
-    if word == "#":
-        return [_hash("#") % BUCKETS]
     w = f"<{word}>"
     grams = {w}
     for n in (3, 4, 5):

@@ -155,6 +155,7 @@ def typed_otherwise(sentence: str, lang: str, way: int) -> str:
 @dataclass
 class Model:
     weights: np.ndarray  # BUCKETS x languages, times the inverse document frequency
+    square: np.ndarray  # inverse document frequencies, squared
     bias: np.ndarray
     temperature: float
 
@@ -163,10 +164,10 @@ class Model:
         total = np.zeros((k, len(LANGS)))
         size = np.zeros(k)
         for b, o in zip(s.bucket, s.owner):
-            size += np.bincount(o, minlength=k)
+            size += np.bincount(o, weights=self.square[b], minlength=k)
             for j in range(len(LANGS)):
                 total[:, j] += np.bincount(o, weights=self.weights[b, j], minlength=k)
-        return (total / np.maximum(size, 1)[:, None] + self.bias) / self.temperature
+        return (total / np.sqrt(np.maximum(size, 1e-9))[:, None] + self.bias) / self.temperature
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -202,11 +203,12 @@ def document_frequencies(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, texts
 
 
-def ftrl(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 2, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002):
+def ftrl(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 2, alpha: float = 0.6, beta: float = 1.0, l1: float = 0.02, l2: float = 0.002):
     """x: of each sentence batch (bucket, sentence within the batch, value); y: class of each sentence, in the same order."""
     k = len(LANGS)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
     w = np.zeros((BUCKETS + 1, k))
+    epochs = max(epochs, -(-60 // max(1, len(x))))  # a small sample is gone through more often
     for _ in range(epochs):
         at = 0
         for bucket, owner, value in x:
@@ -220,7 +222,7 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epoc
             p /= max(1, m) ** 0.5
             for j in range(k):
                 g = np.bincount(bucket, weights=p[owner, j] * value, minlength=BUCKETS + 1)
-                g[-1] = p[:, j].sum()
+                g[-1] = 0.1 * p[:, j].sum()  # the bias moves slowly
                 sigma = (np.sqrt(n[:, j] + g * g) - np.sqrt(n[:, j])) / alpha
                 z[:, j] += g - sigma * w[:, j]
                 n[:, j] += g * g
@@ -230,17 +232,18 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epoc
 
 def _batches(sentences: list[str], idf: np.ndarray, size: int = 192):
     out = []
+    size = min(size, max(16, len(sentences) // 20))
     for lo in range(0, len(sentences), size):
         part = [x.replace("\n", " ") for x in sentences[lo : lo + size]]
         s = analyse(part)
         owner = [s.text[o] for o in s.owner]
         bucket, owner = np.concatenate(s.bucket), np.concatenate(owner)
-        total = np.bincount(owner, minlength=len(part))
+        total = np.bincount(owner, weights=idf[bucket] ** 2, minlength=len(part))
         # a last, neutral feature keeps batches aligned when a sentence has no n-gram
         bucket, owner = np.r_[bucket, np.full(len(part), BUCKETS)], np.r_[owner, np.arange(len(part))]
         order = np.argsort(owner, kind="stable")
         bucket, owner = bucket[order], owner[order]
-        value = np.where(bucket == BUCKETS, 0.0, np.r_[idf, 0][bucket] / np.maximum(total, 1)[owner])
+        value = np.where(bucket == BUCKETS, 0.0, np.r_[idf, 0][bucket] / np.sqrt(np.maximum(total, 1e-9))[owner])
         out.append((bucket, owner, value))
     return out
 
@@ -263,7 +266,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 2000, samp
         texts_ += own
         langs += [LANGS.index(part.lang.iloc[0])] * len(own) if len(part) else []
     if not texts_:
-        return Model(np.zeros((BUCKETS, len(LANGS))), np.zeros(len(LANGS)), 1.0)
+        return Model(np.zeros((BUCKETS, len(LANGS))), np.ones(BUCKETS), np.zeros(len(LANGS)), 1.0)
     y = np.array(langs)
     order = np.random.default_rng(11).permutation(len(y))
     texts_, y = [texts_[i] for i in order], y[order]
@@ -274,8 +277,8 @@ def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 2000, samp
     def logits(batches, w):
         return np.concatenate([np.stack([np.bincount(o, weights=w[b, j] * v, minlength=int(o[-1]) + 1) for j in range(len(LANGS))], 1) + w[-1] for b, o, v in batches])
 
-    p = softmax(logits(x, w) * 8)
-    sure = p[np.arange(len(y)), y] > 0.35
+    p = softmax(logits(x, w))
+    sure = p[np.arange(len(y)), y] > 0.15
     clean = [(t, c) for t, c, ok in zip(texts_, y, sure) if ok]
     train, test = clean[held:], clean[:held]
     more = list(train)
@@ -290,7 +293,7 @@ def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 2000, samp
         z, c = logits(_batches([t for t, _ in test], idf), w), np.array([c for _, c in test])
         grid = np.geomspace(0.02, 20, 60)
         temperature = float(grid[np.argmin([-np.log(softmax(z / g)[np.arange(len(c)), c] + 1e-12).mean() for g in grid])])
-    return Model((w[:-1] * idf[:, None]).astype("f4"), w[-1], temperature)
+    return Model((w[:-1] * idf[:, None]).astype("f4"), (idf**2).astype("f4"), w[-1], temperature)
 
 
 RESULT = "struct<langs:array<string>,confidences:array<double>,shares:array<double>,segments:array<struct<seg_start:int,seg_end:int,lang:string,confidence:double>>>"
