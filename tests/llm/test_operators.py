@@ -56,6 +56,21 @@ def test_similar_vectors_odd_rows(spark):
     assert vectors.similar(points(spark, [])).count() == 0
 
 
+def test_search_recall(spark):
+    rng = np.random.default_rng(4)
+    rows = [("a", f"p{i:04d}", [float(v) for v in r]) for i, r in enumerate(rng.standard_normal((3000, 64)).astype("f4"))]
+    df = points(spark, rows)
+    got = vectors.search(df, df.where("point_id like '%00'")).toPandas()
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = 0
+    for i in range(0, 3000, 100):
+        s = x @ x[i]
+        s[i] = -2
+        hit += len(set(np.argsort(-s)[:10]) & {int(p[1:]) for p in got[got.point == f"p{i:04d}"].neighbour})
+    assert len(got) == 300 and hit >= 0.9 * 300
+
+
 def test_collision_threshold():
     assert vectors.threshold(24, 1.7, 0.998) < 24
     assert vectors.threshold(24, 5.0, 0.9) == 24

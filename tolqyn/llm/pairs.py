@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tolqyn.runtime import staged
+
 # Fixed values.
 PLACEHOLDERS = ("", "null", "none", "nil", "nan", "n/a", "na", "n.a.", "empty", "(empty)", "_(empty)_", "todo", "tbd", "no answer", "[]", "{}", "нет ответа", "пусто", "жауап жоқ", "undefined")
 COPY_MARKS = ("q", "question", "вопрос", "сұрақ", "в", "с", "prompt")
@@ -277,6 +279,7 @@ def defective(df: DataFrame, key: str = "id", prompt: str = "q", expected: str =
     lasts = seen.groupBy("last").agg(F.count_if("final").alias("last_n"), F.count("*").alias("last_all"))
     got = rows.withColumn("v", judged("q", "e", "a")).select("key", "v.*")
     long = got.select("key", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), *[F.col(f"{p}_{c}").alias(c) for c in ("defect", "tail", "last", "size")]) for name, p in (("expected", "e"), ("answer", "a"))])).alias("f")).select("key", "f.*")
+    long = staged(long, "judged-pairs")
     known = long.where("defect is not null").select("key", "field", "defect")
     asked = long.where("defect is null and tail is not null").join(tails, "tail", "left").join(lasts, "last", "left")
     complete = (F.coalesce("tail_n", F.lit(0)) >= least) | ((F.coalesce("last_n", F.lit(0)) >= 3) & (F.col("last_n") >= 0.5 * F.col("last_all")))

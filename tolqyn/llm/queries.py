@@ -11,6 +11,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mutual(vectors.similar(table(spark, d, "chunks")))
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every point of the documents whose id is divisible by 100, among all points of its collection."""
+    docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("file_id").alias("doc_id"))
+    points = table(spark, d, "chunks")
+    return vectors.search(points, points.join(docs, "doc_id", "left_semi").select("point_id"))
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every point of chunks in pieces; a repeated point once."""
     cols = ("collection", "point_id", "doc_id", "generation", "chunk_index", "page_start", "page_end")
@@ -112,7 +119,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found,
+        "p1_found": p1_found, "p1_neighbours": p1_neighbours,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_found": p3_found, "p3_languages": p3_languages,
         "p6_packed": p6_packed, "p6_fill": p6_fill,
