@@ -1,86 +1,83 @@
 """Search of a stated query set against all points: dense, sparse, fused by reciprocal ranks, in tiers of scopes."""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 2048  # queries that travel to the tasks at once
 
 
 def _matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unit rows of the most common length, and which rows those are."""
+    """Flat values, and start and length of each row."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
     starts = np.cumsum(lengths) - lengths
     return flat, starts, lengths
 
 
-def dense_topk(points: DataFrame, queries: DataFrame, k: int, key: str = "point_id", vector: str = "dense", query: str = "query_id", allowed: Column | None = None) -> DataFrame:
-    """(query, key, score, rank): the k rows of highest cosine, ties by key. queries: (query, vector), a stated set, taken in
-    blocks of BLOCK vectors; each task keeps k rows per query and batch, so what is shuffled does not grow with the rows read."""
+def dense_topk(
+    points: DataFrame, queries: DataFrame, k: int, key: str = "point_id", vector: str = "dense", query: str = "query_id", scope: str | None = None,
+) -> DataFrame:
+    """(query, key, score, rank): the k rows of highest cosine, ties by key; with `scope` among the rows whose scope column equals the
+    query's (scopes filter before ranking; a null scope matches nothing).
+
+    queries: (query, vector), a stated set, taken in blocks of BLOCK vectors; each task keeps k rows per query and batch, so what is
+    shuffled does not grow with the rows read. Vectors never leave their task, and a repeated key counts once."""
     spark = points.sparkSession
-    rows = points.where(F.size(vector) > 0).select(key, F.col(vector).cast("array<double>").alias("v"))
-    if allowed is not None:
-        rows = points.where(allowed).where(F.size(vector) > 0).select(key, F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.where(F.size(vector) > 0).select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    tag = F.col(scope).cast("string") if scope else F.lit("")
+
+    def fit(df: DataFrame, name: str, to: str) -> DataFrame:
+        return df.where(F.size(vector) > 0).select(F.col(name).alias(to), F.col(vector).cast("array<double>").alias("v"), tag.alias("scope")).where("scope is not null")
+
+    rows, asked = fit(points, key, "key"), fit(queries, query, "q")
     blocks = 1 + asked.count() // BLOCK
     out = None
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").toPandas() if blocks > 1 else asked.orderBy("q").toPandas()
-        if not len(block):
-            continue
-        by_dim = {d: (g.q.to_numpy(), np.stack([np.asarray(v, "f8") for v in g.v])) for d, g in block.groupby(block.v.map(len))}
-        by_dim = {d: (q, m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None], np.linalg.norm(m, axis=1) > 0) for d, (q, m) in by_dim.items()}
+        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
+        by_dim = {}
+        for d, own in block.groupby(block.v.map(len)):
+            m = np.stack([np.asarray(v, "f8") for v in own.v])
+            norm = np.linalg.norm(m, axis=1)
+            by_dim[int(d)] = (own.q.to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None], own.scope.to_numpy()[norm > 0].astype(str))
         sent = spark.sparkContext.broadcast(by_dim)
 
         def score(batches, sent=sent):
             for batch in batches:
                 flat, starts, lengths = _matrix(batch.column("v"))
-                keys = batch.column(key)
-                for d, (q, m, ok) in sent.value.items():
-                    own = np.flatnonzero(lengths == d)
-                    if not len(own):
+                names = batch.column("key").to_numpy(zero_copy_only=False)
+                scopes = batch.column("scope").to_numpy(zero_copy_only=False).astype(str)
+                once = np.zeros(len(names), bool)
+                once[np.unique(names, return_index=True)[1]] = True
+                for d, (q, m, qs) in sent.value.items():
+                    own = np.flatnonzero((lengths == d) & once)
+                    if not len(own) or not len(q):
                         continue
                     x = flat[(starts[own][:, None] + np.arange(d)).ravel()].reshape(-1, d)
                     norm = np.linalg.norm(x, axis=1)
-                    own, x, norm = own[norm > 0], x[norm > 0], norm[norm > 0]
+                    own, x = own[norm > 0], x[norm > 0] / norm[norm > 0][:, None]
                     if not len(own):
                         continue
-                    s = np.round(m[ok] @ (x / norm[:, None]).T, 6)
-                    names = keys.take(pa.array(own)).to_numpy(zero_copy_only=False)
-                    place = np.argsort(np.argsort(names, kind="stable"), kind="stable")
-                    best = np.lexsort((np.broadcast_to(place, s.shape), -s), axis=1)[:, : min(k, len(own))]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(q[ok], best.shape[1])), pa.array(names[best.ravel()]), pa.array(np.take_along_axis(s, best, 1).ravel())], ["q", "key", "score"]
-                    )
-
-        kinds = dict(rows.dtypes)
-        part = rows.mapInArrow(score, f"q {dict(asked.dtypes)['q']}, key {kinds[key]}, score double")
+                    s = np.round(m @ x.T, 6)
+                    if scope:
+                        s[qs[:, None] != scopes[own][None, :]] = -2.0
+                    least = np.partition(s, len(own) - min(k, len(own)), axis=1)[:, len(own) - min(k, len(own))]
+                    i, j = np.nonzero((s >= least[:, None]) & (s > -2.0))
+                    place = np.argsort(np.argsort(names[own], kind="stable"), kind="stable")
+                    order = np.lexsort((place[j], -s[i, j], i))
+                    i, j = i[order], j[order]
+                    first = np.flatnonzero(np.r_[True, np.diff(i) != 0]) if len(i) else np.zeros(0, int)
+                    kept = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+                    i, j = i[kept], j[kept]
+                    yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(names[own[j]]), pa.array(s[i, j])], ["q", "key", "score"])
+
+        kinds = dict(rows.dtypes) | dict(asked.dtypes)
+        part = rows.mapInArrow(score, f"q {kinds['q']}, key {kinds['key']}, score double")
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], f"{query} {dict(asked.dtypes)['q']}, {key} {dict(rows.dtypes)[key]}, score double, rank int")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
     return out.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("key").alias(key), "score", "rank")
 
 
-def scoped_topk(points: DataFrame, queries: DataFrame, k: int, scope: str = "scope", key: str = "point_id", vector: str = "dense", query: str = "query_id") -> DataFrame:
-    """dense_topk among the rows of the query's own scope. The scope filters before ranking: it is an equi-join, so a query meets only
-    its scope's rows; scores are built-in expressions."""
-    a = queries.where(F.size(vector) > 0).select(F.col(query), F.col(scope), F.col(vector).cast("array<double>").alias("qv"))
-    b = points.where(F.size(vector) > 0).select(F.col(key), F.col(scope), F.col(vector).cast("array<double>").alias("v"))
-
-    def dot(x, y):
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-
-    norm = F.sqrt(dot("v", "v"))
-    a, b = a.withColumn("qn", F.sqrt(dot("qv", "qv"))).where("qn > 0"), b.withColumn("n", norm).where("n > 0")
-    hits = a.join(b, scope).select(query, key, F.round(dot("qv", "v") / (F.col("qn") * F.col("n")), 6).alias("score"))
-    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def sparse_topk(points: DataFrame, queries: DataFrame, k: int, key: str = "point_id", query: str = "query_id", indices: str = "sparse_indices", values: str = "sparse_values") -> DataFrame:
     """(query, key, score, rank) by the sum of products over shared indices. An equi-join on the index; only the query set meets the rows, and
     adaptive execution splits an index that many rows share."""

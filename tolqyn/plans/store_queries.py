@@ -18,6 +18,11 @@ def _search_points(spark, d):
     return p.select("point_id", "collection", "doc_id", "doc_type", "subject", "grade", "lang", "dense", "sparse_indices", "sparse_values").dropDuplicates(["point_id"])
 
 
+def _dense_points(spark, d):
+    """As above, without the shuffle: dense search counts a repeated key once itself."""
+    return store.visible(_points(spark, d)).select("point_id", "subject", "grade", "lang", "dense")
+
+
 def _queries(spark, d):
     """The first pieces of every document whose id is divisible by 100."""
     docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("file_id").alias("doc_id")).distinct()
@@ -43,7 +48,7 @@ fr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def dense_topk(spark, d):
-    return retrieval.dense_topk(_search_points(spark, d), _queries(spark, d), 20)
+    return retrieval.dense_topk(_dense_points(spark, d), _queries(spark, d), 20)
 
 
 def sparse_topk(spark, d):
@@ -51,21 +56,21 @@ def sparse_topk(spark, d):
 
 
 def hybrid_rrf(spark, d):
-    p, q = _search_points(spark, d), _queries(spark, d)
-    return retrieval.rrf([retrieval.dense_topk(p, q, 20), retrieval.sparse_topk(p, q, 20)], 60, 5)
+    q = _queries(spark, d)
+    return retrieval.rrf([retrieval.dense_topk(_dense_points(spark, d), q, 20), retrieval.sparse_topk(_search_points(spark, d), q, 20)], 60, 5)
 
 
 def score_threshold(spark, d):
-    return retrieval.dense_topk(_search_points(spark, d), _queries(spark, d), 20).where("score >= 0.5")
+    return retrieval.dense_topk(_dense_points(spark, d), _queries(spark, d), 20).where("score >= 0.5")
 
 
 def _tiers(spark, d):
     """Of each query's own language: first its subject and grade, then its subject, then everything of the language."""
-    p, q = _search_points(spark, d), _queries(spark, d)
+    p, q = _dense_points(spark, d), _queries(spark, d)
     tiers = []
     for cols in (("subject", "grade", "lang"), ("subject", "lang"), ("lang",)):
         tag, ok = F.concat_ws("|", *cols), " and ".join(f"{c} is not null" for c in cols)
-        tiers.append(retrieval.scoped_topk(p.where(ok).withColumn("scope", tag), q.where(ok).withColumn("scope", tag), 5))
+        tiers.append(retrieval.dense_topk(p.where(ok).withColumn("scope", tag), q.where(ok).withColumn("scope", tag), 5, scope="scope"))
     return tiers
 
 
