@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tolqyn.functions import metadata, register_functions, speech
-from tolqyn.operators import answers, chunking, evaluation, events, jobs, quality, retrieval, store
+from tolqyn.functions.embedding import hashed
+from tolqyn.plans import pipeline
+from tolqyn.operators import answers, chunking, evaluation, events, jobs, quality, retrieval, speech_flow, store
 from tolqyn.operators import understanding as u
 from tolqyn.operators.running import sum_before
 from tolqyn.sources import files
@@ -255,3 +257,27 @@ def test_conversation_stream(spark, tmp_path):
     stream = spark.readStream.schema("conversation_id string, at timestamp, role string, text string").parquet(str(tmp_path / "m"))
     got = {r.conversation_id: (r.kept, r.chars) for r in flows.run_once(flows.conversation_state(stream, 10, 80), "talk", "update").collect()}
     assert got == {"c": (2, 70), "d": (1, 0)}
+
+
+def test_sentences_for_speech(spark):
+    f = lambda t: one(spark, speech_flow.ready_sentences(F.col("t")), t=t)
+    assert f("1. Да. Это длинное предложение о воде. Конец") == ["1. Да. Это длинное предложение о воде.", "Конец"]
+    assert f("Число равно 3.14 метра ровно. Ещё одно предложение тут!") == ["Число равно 3.14 метра ровно.", "Ещё одно предложение тут!"]
+    assert one(spark, speech_flow.preview(F.col("t"), 5), t="ab  cdef") == "ab c…"
+
+
+def test_hashed_embedding(spark):
+    df = spark.createDataFrame([(1, "вода кипит вода"), (2, "вода кипит вода"), (3, ""), (4, None)], "id int, text string")
+    got = {r.id: r for r in hashed(df, "text").collect()}
+    assert got[1][2:] == got[2][2:] and abs(sum(x * x for x in got[1].dense) - 1) < 1e-5 and len(got[1].sparse_indices) == 2 and abs(sum(got[1].sparse_values) - 1) < 1e-6
+    assert got[3].dense is None and got[4].sparse_indices == []
+
+
+def test_from_documents_to_context(spark):
+    text = "Вода кипит при температуре сто градусов, это известно всем ученикам школы."
+    docs = spark.createDataFrame([("a/kipenie.txt", text), ("b/rost.txt", "Растения растут на свету и поглощают углекислый газ из воздуха днём.")], "doc_key string, text string")
+    new = pipeline.ingest(docs.withColumn("filename", F.col("doc_key")), "c", "g1")
+    assert pipeline.ingest(docs.withColumn("filename", F.col("doc_key")), "c", "g1").select("point_id").exceptAll(new.select("point_id")).count() == 0
+    points = store.replace_generation(new.where("false"), new)
+    got = pipeline.context(points, spark.createDataFrame([(1, "Почему вода кипит?")], "query_id int, text string"), top=1).head()
+    assert got.language == "ru" and got.context == f"[1] (a/kipenie.txt)\n{text}"

@@ -1,8 +1,8 @@
 """All registered queries of the core, with their DuckDB counterparts."""
 
-from tolqyn.plans import source_queries, store_queries, text_queries, work_queries
+from tolqyn.plans import flow_queries, source_queries, store_queries, text_queries, work_queries
 
-MODULES = (store_queries, text_queries, work_queries, source_queries)
+MODULES = (store_queries, text_queries, work_queries, source_queries, flow_queries)
 
 
 def queries() -> dict:
