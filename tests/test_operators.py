@@ -281,3 +281,19 @@ def test_from_documents_to_context(spark):
     points = store.replace_generation(new.where("false"), new)
     got = pipeline.context(points, spark.createDataFrame([(1, "Почему вода кипит?")], "query_id int, text string"), top=1).head()
     assert got.language == "ru" and got.context == f"[1] (a/kipenie.txt)\n{text}"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tolqyn import cli
+
+    root = tmp_path / "corpus" / "Textbooks" / "Физика" / "рус"
+    root.mkdir(parents=True)
+    (root / "Физика 8.txt").write_text("Вода кипит при температуре сто градусов, это известно всем ученикам школы.")
+    out = str(tmp_path / "store")
+    assert cli.main(["ingest", "--root", str(tmp_path / "corpus"), "--store", out]) == 0
+    assert cli.main(["list", "--store", out]) == 0 and cli.main(["status", "--store", out]) == 0
+    text = capsys.readouterr().out
+    assert '"subject": "physics"' in text and '"grade": 8' in text and '"documents_ru": 1' in text
+    assert cli.main(["gen-manifest", "--root", str(tmp_path / "corpus"), "--out", str(tmp_path / "m")]) == 0
+    assert spark.read.json(str(tmp_path / "m")).head().stub is True
+    assert cli.main(["delete", "--store", out, "--doc-id", "none", "--out", str(tmp_path / "s2")]) == 1
