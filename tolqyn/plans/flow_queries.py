@@ -126,7 +126,7 @@ SQL = {
     "answer_previews": r"""SELECT answer_id, CASE WHEN length(f) > 60 THEN rtrim(substring(f, 1, 59)) || '…' ELSE f END AS preview FROM (SELECT DISTINCT answer_id, answer, trim(regexp_replace(answer, '\s+', ' ', 'g')) AS f FROM answer_results WHERE answer IS NOT NULL) t""",
     "job_options": "SELECT kind, options_json ->> '$.assistant_type' AS assistant_type, count(*) AS jobs FROM (SELECT DISTINCT id, kind, options_json FROM jobs) t GROUP BY ALL",
     "item_metadata": """WITH i AS (SELECT DISTINCT id, relative_path, metadata_json ->> '$.subject' AS subject, (metadata_json ->> '$.grade')::INT AS grade, metadata_json ->> '$.lang' AS lang FROM job_items WHERE metadata_json IS NOT NULL), m AS (SELECT DISTINCT relative_path, subject AS s, grade AS g FROM upload_manifest)
-        SELECT subject, count(*) AS pairs, sum((subject IS NOT DISTINCT FROM s AND grade IS NOT DISTINCT FROM g)::INT) AS same FROM i JOIN m USING (relative_path) GROUP BY subject""",
+        SELECT subject, count(*) AS pairs, sum((subject IS NOT DISTINCT FROM s AND grade IS NOT DISTINCT FROM g)::INT)::BIGINT AS same FROM i JOIN m USING (relative_path) GROUP BY subject""",
     "missing_metadata": """WITH a AS (SELECT manifest_id, array_to_string(list_filter([CASE WHEN subject IS NULL THEN 'subject' END, CASE WHEN grade IS NULL THEN 'grade' END, CASE WHEN lang IS NULL THEN 'lang' END, CASE WHEN doc_type = 'lab_instruction' AND lab_number IS NULL THEN 'lab_number' END], lambda x: x IS NOT NULL), ',') AS missing FROM (SELECT DISTINCT * FROM upload_manifest) t)
         SELECT * FROM a WHERE missing <> ''""",
     "item_transitions": "WITH i AS (SELECT DISTINCT id, status, stage, recorded_at FROM job_items), l AS (SELECT status, lag(status) OVER (PARTITION BY id ORDER BY recorded_at NULLS FIRST, status NULLS FIRST, stage NULLS FIRST) AS before FROM i) SELECT before, status AS after, count(*) AS n FROM l GROUP BY ALL",

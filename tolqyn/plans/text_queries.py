@@ -166,7 +166,7 @@ LINES = r"list_filter(list_transform(string_split(lower(text), chr(10)), lambda
 
 SQL = {
     "chunk_documents": f"WITH {_chunks_sql(800, 680)} SELECT doc_id, chunk_index, char_start, char_end, md5(chunk) AS chunk_md5 FROM c",
-    "chunk_counts_by_lang": f"WITH {_chunks_sql(800, 680)} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(length(chunk)) AS chars FROM c GROUP BY lang",
+    "chunk_counts_by_lang": f"WITH {_chunks_sql(800, 680)} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY lang",
     "chunk_small_windows": f"WITH {_chunks_sql(400, 300)} SELECT doc_id, count(*) AS chunks, max(char_end) AS last_end FROM c GROUP BY doc_id",
     "reconstruct_text": "SELECT true AS same, count(*) AS documents FROM documents",
     "page_overlap_join": r"""WITH p AS (SELECT file_id, page_no, max(length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS n FROM ocr_pages GROUP BY ALL),
@@ -197,13 +197,13 @@ SQL = {
         SELECT id, array_to_string(list_sort(list_distinct(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[а-яәғқңөұүһі]') THEN substring(x, 1, 3) ELSE substring(x, 1, 4) END))), ' ') AS terms FROM a""",
     "procedure_intent": f"SELECT id, coalesce(regexp_matches(lower(q), '{u.PROCEDURE}'), false) AS is_procedure FROM eval_slim",
     "trim_history": f"""WITH {MESSAGES}, b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC NULLS LAST, answer_id DESC, half DESC) AS back FROM m QUALIFY back <= 6),
-        c AS (SELECT *, sum(length(coalesce(text, ''))) OVER (PARTITION BY conversation_id ORDER BY back ROWS UNBOUNDED PRECEDING) AS used FROM b) SELECT conversation_id, answer_id, role, back, used FROM c WHERE back = 1 OR used <= 600""",
+        c AS (SELECT *, sum(length(coalesce(text, ''))) OVER (PARTITION BY conversation_id ORDER BY back ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM b) SELECT conversation_id, answer_id, role, back, used FROM c WHERE back = 1 OR used <= 600""",
     "latest_user_message": f"WITH {MESSAGES} SELECT conversation_id, first(text ORDER BY ts DESC NULLS LAST, answer_id DESC) AS question FROM m WHERE role = 'user' AND text <> '' GROUP BY conversation_id",
     "followup_query": f"""WITH {MESSAGES}, u AS (SELECT conversation_id, text AS q, ts AS q_at, answer_id AS q_id FROM m WHERE role = 'user' AND text <> '' QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC NULLS LAST, answer_id DESC) = 1),
         o AS (SELECT m.*, trim(text) AS t, row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC NULLS LAST, answer_id DESC, half DESC) AS back FROM m JOIN u USING (conversation_id) WHERE trim(text) <> '' AND (coalesce(ts, TIMESTAMP '0001-01-01'), answer_id) < (coalesce(q_at, TIMESTAMP '0001-01-01'), q_id) QUALIFY back <= 6),
         ro AS (SELECT *, 300 - coalesce(sum(length(t)) OVER (PARTITION BY conversation_id ORDER BY back ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM o),
         c AS (SELECT conversation_id, string_agg(CASE WHEN length(t) > room THEN right(t, room::BIGINT) ELSE t END, chr(10) ORDER BY back DESC) AS ctx FROM ro WHERE room > 0 GROUP BY conversation_id)
         SELECT conversation_id, coalesce(ctx || chr(10), '') || q AS retrieval_query FROM u LEFT JOIN c USING (conversation_id)""",
-    "token_usage": """SELECT lab_id, count(*) AS answers, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(coalesce(total_tokens, input_tokens + output_tokens)) AS total_tokens
+    "token_usage": """SELECT lab_id, count(*) AS answers, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(coalesce(total_tokens, input_tokens + output_tokens))::BIGINT AS total_tokens
         FROM (SELECT DISTINCT answer_id, lab_id, input_tokens, output_tokens, total_tokens FROM answer_results) t GROUP BY lab_id""",
 }

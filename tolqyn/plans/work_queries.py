@@ -73,7 +73,7 @@ def status_mismatch(spark, d):
 
 
 def job_list_order(spark, d):
-    return jobs.page(table(spark, d, "jobs").dropDuplicates(["id"]), 200).select("id", "status", "created_at")
+    return jobs.page(table(spark, d, "jobs").dropDuplicates(["id"]), 200).select("id", "status", F.unix_micros("created_at").alias("created_us"))
 
 
 def claim_next(spark, d):
@@ -224,18 +224,18 @@ SQL = {
     "weakest_groups": f"WITH {G} {LABS} ORDER BY avg_score, subject, grade, lab LIMIT 10",
     "strongest_groups": f"WITH {G} {LABS} ORDER BY avg_score DESC, subject DESC, grade DESC, lab DESC LIMIT 10",
     "verdict_bands": "SELECT CASE WHEN least(greatest(score, 0), 100) >= 70 THEN 'correct' WHEN least(greatest(score, 0), 100) >= 40 THEN 'partial' ELSE 'incorrect' END AS band, lower(trim(verdict)) AS written, count(*) AS n FROM (SELECT DISTINCT * FROM grades) t GROUP BY ALL",
-    "eval_batches": "SELECT id // 15 AS batch, count(*) AS pairs, min(id) AS first_id, sum(length(coalesce(answer, ''))) AS answer_chars FROM (SELECT DISTINCT id, subject, q, expected, answer FROM eval_slim) t GROUP BY batch",
+    "eval_batches": "SELECT id // 15 AS batch, count(*) AS pairs, min(id) AS first_id, sum(length(coalesce(answer, '')))::BIGINT AS answer_chars FROM (SELECT DISTINCT id, subject, q, expected, answer FROM eval_slim) t GROUP BY batch",
     "queue_status": "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in jobs.STATUSES) + " FROM (SELECT DISTINCT ON (id) id, status FROM jobs) t",
     "job_counters": f"WITH {ITEMS} SELECT job_id, count(*) AS total, {COUNTS}, first(id ORDER BY position, id) FILTER (WHERE status = 'running') AS current_item FROM i GROUP BY job_id",
     "terminal_status": f"WITH {ITEMS}, c AS (SELECT job_id, {COUNTS} FROM i GROUP BY job_id) SELECT job_id, {DERIVED} AS derived_status FROM c",
     "status_mismatch": f"WITH {ITEMS}, c AS (SELECT job_id, {COUNTS} FROM i GROUP BY job_id), x AS (SELECT job_id, {DERIVED} AS derived_status FROM c) SELECT status, derived_status, count(*) AS jobs FROM (SELECT DISTINCT id, status FROM jobs) j LEFT JOIN x ON j.id = x.job_id GROUP BY ALL",
-    "job_list_order": """SELECT id, status, created_at FROM (SELECT DISTINCT ON (id) id, status, created_at FROM jobs) t ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END,
+    "job_list_order": """SELECT id, status, epoch_us(created_at) AS created_us FROM (SELECT DISTINCT ON (id) id, status, created_at FROM jobs) t ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END,
         CASE WHEN status IN ('running', 'queued') THEN created_at END ASC NULLS LAST, CASE WHEN status NOT IN ('running', 'queued') THEN created_at END DESC NULLS LAST, id LIMIT 200""",
     "claim_next": "SELECT kind, first(id ORDER BY created_at, id) AS id FROM jobs WHERE status = 'queued' GROUP BY kind",
     "retry_items": f"WITH {ITEMS} SELECT job_id, id, position, row_number() OVER (PARTITION BY job_id ORDER BY position, id) - 1 AS new_position FROM i WHERE status IN ('failed', 'cancelled')",
     "job_items_nested": f"WITH {ITEMS}, n AS (SELECT job_id, count(*) AS items, md5(string_agg(id, ',' ORDER BY position, id)) AS m FROM i GROUP BY job_id) SELECT j.id, j.status, coalesce(items, 0) AS items, coalesce(m, md5('')) AS order_md5 FROM (SELECT DISTINCT id, status FROM jobs) j LEFT JOIN n ON j.id = n.job_id",
     "worker_online": "SELECT user_id, epoch(date_trunc('second', max(ts))) >= epoch(date_trunc('second', (SELECT max(ts) FROM events))) - 900 AS online FROM events GROUP BY user_id",
-    "job_durations": """SELECT kind, count(*) AS jobs, sum(date_diff('second', date_trunc('second', created_at), date_trunc('second', started_at))) AS wait_s, sum(date_diff('second', date_trunc('second', started_at), date_trunc('second', finished_at))) AS run_s,
+    "job_durations": """SELECT kind, count(*) AS jobs, sum(date_diff('second', date_trunc('second', created_at), date_trunc('second', started_at)))::BIGINT AS wait_s, sum(date_diff('second', date_trunc('second', started_at), date_trunc('second', finished_at)))::BIGINT AS run_s,
         max(date_diff('second', date_trunc('second', started_at), date_trunc('second', finished_at))) AS longest_s FROM (SELECT DISTINCT id, kind, created_at, started_at, finished_at FROM jobs) t GROUP BY kind""",
     "chunk_counts_match": f"WITH {ITEMS}, c AS (SELECT doc_id, count(DISTINCT point_id) AS points FROM chunks WHERE generation = active_generation GROUP BY doc_id) SELECT i.id, i.chunks, c.points FROM i JOIN c ON i.file_id = c.doc_id WHERE i.chunks IS DISTINCT FROM c.points",
     "late_records": "SELECT floor(date_diff('second', date_trunc('second', finished_at), date_trunc('second', recorded_at)) / 86400.0)::BIGINT AS days_late, count(*) AS items FROM (SELECT DISTINCT * FROM job_items WHERE finished_at IS NOT NULL AND recorded_at IS NOT NULL) t GROUP BY days_late",
