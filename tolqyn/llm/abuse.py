@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tolqyn.llm.sampling import hash_sample
+
 CLASSES = ("none", "abusive", "hateful", "sexual")
 BUCKETS = 1 << 16
 DIM = 16
@@ -281,12 +283,12 @@ def seeds(seed: int = 1) -> list[tuple[str, int]]:
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", category: str = "category", sample: int = 4000, background: int = 600) -> Model:
     """sample: reviewed documents at most, half of them offensive if there are so many; background: further documents, taken as clean."""
     votes = labels.where(F.col(category).isin(*CLASSES)).groupBy(key).agg(F.min(category).alias("low"), F.max(category).alias("high")).where("low = high").select(key, F.col("low").alias("category"))
-    h = F.xxhash64(F.lit(5), key)
+    there = {r.bad: r["count"] for r in votes.groupBy((F.col("category") != "none").alias("bad")).count().collect()}
     fit_size = docs.where(F.length(text).between(1, 20_000)).select(key, text)
     reviewed = fit_size.join(votes, key)
-    bad = reviewed.where("category <> 'none'").orderBy(h).limit(sample // 2).toPandas()
-    clean = reviewed.where("category = 'none'").orderBy(h).limit(sample // 2).toPandas()
-    rest = fit_size.orderBy(F.xxhash64(F.lit(6), key)).limit(background).toPandas()
+    bad = hash_sample(reviewed.where("category <> 'none'"), key, sample // 2, there.get(True, 0), 5).toPandas()
+    clean = hash_sample(reviewed.where("category = 'none'"), key, sample // 2, there.get(False, 0), 5).toPandas()
+    rest = hash_sample(fit_size, key, background, docs.count(), 6).toPandas()
     rng = np.random.default_rng(9)
 
     def parts(pdf: pd.DataFrame, most: int) -> list[str]:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tolqyn.llm.sampling import hash_sample
+
 LANGS = ("ru", "kk", "en")
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -252,8 +254,10 @@ def fit(df: DataFrame, key: str, text: str, label: str, sample: int = 2000, samp
     """sample: labelled texts per language at most; sentences: of the sample at most. Document frequencies: of all texts."""
     found, texts = document_frequencies(df, text)
     idf = np.log((1 + texts) / (1 + found)) + 0.1
-    rows = df.select(F.xxhash64(F.lit(7), key, text).alias("h"), text, named_language(F.col(label)).alias("lang")).where(F.col("lang").isNotNull() & F.length(text).between(20, sample_chars))
-    parts = [rows.where(F.col("lang") == x).orderBy("h").limit(sample).toPandas() for x in LANGS]
+    rows = df.select(key, text, named_language(F.col(label)).alias("lang")).where("lang is not null")
+    there = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    fit_size = rows.where(F.length(text).between(20, sample_chars))
+    parts = [hash_sample(fit_size.where(F.col("lang") == x), key, sample, there.get(x, 0), 7).toPandas() for x in LANGS]
     texts_, langs = [], []
     for part in parts:
         own = []
