@@ -14,6 +14,10 @@ def test_runs_over_the_tables(spark, data, name):
     if name in SHAPES:
         assert sorted(df.columns) == sorted(SHAPES[name])
         assert df.count() == df.distinct().count()
+    elif name == "p1_neighbours":  # on the smallest tables the stated query set may hold no point
+        docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id % 100 = 0").selectExpr("file_id AS doc_id")
+        asked = spark.read.parquet(f"{data}/chunks.parquet").where("size(dense) > 0 and exists(dense, x -> x != 0)").join(docs, "doc_id", "left_semi")
+        assert df.select("point").distinct().count() == asked.select("point_id").distinct().count()
     else:
         assert df.count() > 0
 
