@@ -217,6 +217,14 @@ def test_pairs_in_spark(spark):
     assert pairs.defective(df.limit(0)).count() == 0
 
 
+def test_an_ellipsis_does_not_complete_a_text(spark):
+    whole, cut = "Соль растворяется в горячей воде", "Потому что соль растворяется в гор"
+    ends = [(i, Q, whole + ".", whole + ".") for i in range(5)] + [(6 + i, Q, whole + ".", cut + "…") for i in range(3)]
+    rows = [*ends, (10, Q, whole + "…", cut + "..."), (11, Q, whole + "?..", "…"), (12, Q, whole + ".", whole + "...")]
+    df = spark.createDataFrame(rows, "id long, q string, expected string, answer string")
+    assert {tuple(r) for r in pairs.defective(df).collect()} == {(i, "answer", "truncated") for i in (6, 7, 8, 10)} | {(11, "answer", "empty")}
+
+
 # ---- 6, 7
 
 

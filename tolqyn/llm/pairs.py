@@ -5,7 +5,8 @@ copy           the answer repeats the whole prompt and nothing else: the answer
                prompt's words; both must be covered by matches of at least three words (or the whole prompt)
 refusal        every sentence declines (automaton of phrases) or is a filler that goes with it, and the reference does not decline too
 other_language votes of stopwords, endings and letters give another language than the prompt's
-truncated      an open delimiter, a hanging mark or hyphen, or a last sentence without end mark whose last words end no sentence elsewhere
+truncated      an open delimiter, a hanging mark or hyphen, or a last sentence without end mark (an ellipsis is none) whose last words
+               end no sentence elsewhere
 
 At most one defect per field, in this order. How often words end a sentence is counted over all prompts and answers.
 
@@ -47,6 +48,7 @@ END_MARKS = ".!?…;。"
 _WORD = re.compile(r"\w+")
 _INVISIBLE = re.compile(r"[\s\u00ad\u034f\u061c\u115f\u180e\u200b-\u200f\u2028-\u202f\u2060-\u2064\u3164\ufeff]+")
 _KK = re.compile("[әғқңөұүһі]")
+_ELLIPSIS = re.compile(r"\s*(?:…|\.(?:\s?\.){2,})[….]*$")
 
 
 def _automaton(phrases):
@@ -229,7 +231,7 @@ def judge(prompt: str | None, expected: str | None, answer: str | None) -> list[
                 defect = "other_language"
             elif is_open(plain):
                 defect = "truncated"
-            elif not re.search(rf"[{END_MARKS})\]}}]$", plain):
+            elif not re.search(rf"[{END_MARKS})\]}}]$", plain := _ELLIPSIS.sub("", plain)):
                 ends = sentences(plain)
                 t = tail_of(plain)
                 if t:
@@ -254,12 +256,13 @@ def _judge_all(prompt: pd.Series, expected: pd.Series, answer: pd.Series) -> pd.
 
 
 def _tails_of(texts: pd.Series) -> pd.Series:
-    """The last words of each sentence that has an end mark; and every word, for how often it ends one."""
+    """The last words of each sentence that has an end mark other than an ellipsis; and every word, for how often it ends one."""
     out = []
     for t in texts:
         own = []
         for s in sentences(t) if isinstance(t, str) else []:
-            if s.rstrip("\"'»”’)* ")[-1:] and s.rstrip("\"'»”’)* ")[-1] in END_MARKS:
+            end = _ELLIPSIS.sub("", s.rstrip("\"'»”’)* "))[-1:]
+            if end and end in END_MARKS:
                 words = [re.sub(r"\d+", "#", w) for w in _WORD.findall(s.lower())]
                 if words:
                     own.append({"tail": " ".join(words[-2:]), "last": words[-1], "final": True})
