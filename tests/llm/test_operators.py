@@ -225,6 +225,13 @@ def test_an_ellipsis_does_not_complete_a_text(spark):
     assert {tuple(r) for r in pairs.defective(df).collect()} == {(i, "answer", "truncated") for i in (6, 7, 8, 10)} | {(11, "answer", "empty")}
 
 
+def test_a_pair_of_words_mostly_within_sentences_completes_no_text(spark):
+    inside, ends, cut = "Раствор соли нагревают на слабом огне.", "Раствор соли нагревают.", "Потому что раствор соли нагревают"
+    rows = [(i, Q, inside, inside) for i in range(40)] + [(50, Q, ends, ends), (51, Q, inside, cut), (52, Q, inside, "Потому что нагревают на слабом огне")]
+    df = spark.createDataFrame(rows, "id long, q string, expected string, answer string")
+    assert {tuple(r) for r in pairs.defective(df).collect()} == {(51, "answer", "truncated")}
+
+
 # ---- 6, 7
 
 

@@ -256,7 +256,7 @@ def _judge_all(prompt: pd.Series, expected: pd.Series, answer: pd.Series) -> pd.
 
 
 def _tails_of(texts: pd.Series) -> pd.Series:
-    """The last words of each sentence that has an end mark other than an ellipsis; and every word, for how often it ends one."""
+    """The last words of each sentence that has an end mark other than an ellipsis; and every word and pair of words, for how often it ends one."""
     out = []
     for t in texts:
         own = []
@@ -266,25 +266,27 @@ def _tails_of(texts: pd.Series) -> pd.Series:
                 words = [re.sub(r"\d+", "#", w) for w in _WORD.findall(s.lower())]
                 if words:
                     own.append({"tail": " ".join(words[-2:]), "last": words[-1], "final": True})
-                    own += [{"tail": None, "last": w, "final": False} for w in words[:-1]]
+                    own += [{"tail": " ".join(words[i - 1 : i + 1]) if i else None, "last": words[i], "final": False} for i in range(len(words) - 1)]
         out.append(own)
     return pd.Series(out)
 
 
-def defective(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer", least: int = 2) -> DataFrame:
-    """(key, field, defect). least: how often two last words must end a sentence elsewhere to count as complete."""
+def defective(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer", least: int = 2, share: float = 0.05) -> DataFrame:
+    """(key, field, defect). Two last words count as complete that end a sentence at least `least` times elsewhere, and in at least
+    this share of their places (a cut falls on a pair as often as it stands within sentences). The share is low, as there are some
+    seven places within sentences for each end, and more complete texts without end mark than cut ones."""
     judged = F.pandas_udf(_judge_all, VERDICT)
     ends = F.pandas_udf(_tails_of, "array<struct<tail:string,last:string,final:boolean>>")
     rows = df.select(F.col(key).alias("key"), F.col(prompt).alias("q"), F.col(expected).alias("e"), F.col(answer).alias("a")).distinct()
     texts = rows.select(F.explode(F.array("q", "e", "a")).alias("t")).where("t is not null")
     seen = texts.select(F.explode(ends("t")).alias("s")).select("s.*")
-    tails = seen.where("final").groupBy("tail").agg(F.count("*").alias("tail_n"))
+    tails = seen.where("tail is not null").groupBy("tail").agg(F.count_if("final").alias("tail_n"), F.count("*").alias("tail_all")).where("tail_n > 0")
     lasts = seen.groupBy("last").agg(F.count_if("final").alias("last_n"), F.count("*").alias("last_all"))
     got = rows.withColumn("v", judged("q", "e", "a")).select("key", "v.*")
     long = got.select("key", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), *[F.col(f"{p}_{c}").alias(c) for c in ("defect", "tail", "last", "size")]) for name, p in (("expected", "e"), ("answer", "a"))])).alias("f")).select("key", "f.*")
     long = staged(long, "judged-pairs")
     known = long.where("defect is not null").select("key", "field", "defect")
     asked = long.where("defect is null and tail is not null").join(tails, "tail", "left").join(lasts, "last", "left")
-    complete = (F.coalesce("tail_n", F.lit(0)) >= least) | ((F.coalesce("last_n", F.lit(0)) >= 3) & (F.col("last_n") >= 0.5 * F.col("last_all")))
+    complete = ((F.coalesce("tail_n", F.lit(0)) >= least) & (F.col("tail_n") >= share * F.col("tail_all"))) | ((F.coalesce("last_n", F.lit(0)) >= 3) & (F.col("last_n") >= 0.5 * F.col("last_all")))
     cut = asked.where(~F.coalesce(complete, F.lit(False))).select("key", "field", F.lit("truncated").alias("defect"))
     return known.unionByName(cut).distinct().withColumnRenamed("key", key)
