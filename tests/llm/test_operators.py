@@ -48,6 +48,19 @@ def test_similar_vectors_against_brute_force(spark):
     assert pairs_got <= pairs_want and len(pairs_got) >= 0.97 * len(pairs_want)
 
 
+@pytest.mark.parametrize("block", [70, 32768])
+def test_similar_vectors_in_a_dense_cell(spark, block):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.ones(16) + rng.standard_normal((400, 16)) * 0.1, rng.standard_normal((100, 16))]).astype("f4")
+    rows = [("a" if i % 4 else "b", f"p{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)]
+    want = brute(rows, 10, 0.9)
+    got = {}
+    for r in vectors.similar(points(spark, rows), tables=4, span=40, block=block).orderBy("grp", "point", "place").collect():
+        got.setdefault((r.grp, r.point), []).append(r.neighbour)
+    dense = [k for k in want if k[1] < "p0400"]
+    assert sum(got.get(k) == want[k] for k in dense) >= 0.99 * len(dense)
+
+
 def test_similar_vectors_odd_rows(spark):
     nan = float("nan")
     rows = [("a", "x", [1.0, 0.0]), ("a", "x", [1.0, 0.0]), ("a", "y", [2.0, 0.0]), ("b", "z", [1.0, 0.0]), ("a", "n", None), ("a", "e", []), ("a", "o", [0.0, 0.0]), ("a", "q", [nan, 1.0]), ("a", "w", [1.0, 0.0, 0.0]), (None, "v", [1.0, 0.0]), (None, "u", [1.0, 0.0]), ("a", None, [1.0, 0.0])]

@@ -12,8 +12,9 @@ Two forms:
 * `similar` for all rows against all rows above a similarity. Counting in windows of the whole
   collection would meet a fixed share of all pairs, which is quadratic; so the sorted arrays are kept
   by cell: `tables` times the space is cut by the signs of a few more projections (their number follows the
-  row count, so cells keep their size), rows are range-sorted by (cell, projection), and the windows are
-  taken inside a cell. As the radius is known from the similarity, the widest window is taken at once.
+  row count, so cells keep their size), rows are range-sorted by cell, and the windows are
+  taken inside a cell. As the radius is known from the similarity, the widest window is taken at once. A cell of too many rows
+  is compared as a whole by true products, a block of its rows against all of them in each task.
 
 Equal vectors form one class and are compared once; every member takes part in the ranking.
 
@@ -80,8 +81,8 @@ def unique_vectors(df: DataFrame, group: str, key: str, vector: str, k: int) ->
     return classes, members
 
 
-def _cells(tables: int, bits: int):
-    """Task: a row per table with its cell, place in the sorted array, and projections as bytes."""
+def _cells(tables: int, bits: int, floats: bool = False):
+    """Task: a row per table with its cell, and projections as bytes, or the unit vector as floats."""
 
     def run(batches):
         for batch in batches:
@@ -93,16 +94,15 @@ def _cells(tables: int, bits: int):
                 x = flat[(starts[own][:, None] + np.arange(dim)).ravel()].reshape(-1, dim).astype("f8")
                 x = (x / np.linalg.norm(x, axis=1)[:, None]).astype("f4")
                 y = x @ rotation(int(dim)).T
-                code = np.clip(np.rint(y * _scale(int(dim)) + 128), 0, 255).astype("u1")
+                code = x if floats else np.clip(np.rint(y * _scale(int(dim)) + 128), 0, 255).astype("u1")
                 sign = (x @ directions(int(dim), tables * bits, 1).T > 0).reshape(-1, tables, bits)
                 cell = sign @ (1 << np.arange(bits, dtype="i8"))
-                at = x @ directions(int(dim), tables, 2).T
                 part = batch.take(pa.array(own))
-                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(dim)), len(own), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
+                codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(int(dim) * code.itemsize), len(own), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("grp"), pa.array(np.full(len(own), t, "i2")), pa.array(cell[:, t]), pa.array(np.full(len(own), dim, "i4")), pa.array(at[:, t].astype("f4")), part.column("no"), codes],
-                        ["grp", "tab", "cell", "dim", "at", "no", "code"],
+                        [part.column("grp"), pa.array(np.full(len(own), t, "i2")), pa.array(cell[:, t]), pa.array(np.full(len(own), dim, "i4")), part.column("no"), codes],
+                        ["grp", "tab", "cell", "dim", "no", "code"],
                     )
 
     return run
@@ -114,10 +114,8 @@ def _scale(dim: int) -> float:
 
 
 def _pairs(min_similarity: float, keep: int, span: int, least: float = 0.998):
-    """Task over rows sorted by (grp, tab, cell, dim, at): counts collisions between a row and up to `span` rows
-    before it in its cell, verifies those over the threshold on all projections, and keeps for every row the `keep` best.
-
-    A cell larger than the span is walked through; the rows held are never more than two spans."""
+    """Task over rows sorted by (grp, tab, cell, dim), cells of at most `span` rows: counts collisions between a row and those
+    before it in its cell, verifies those over the threshold on all projections, and keeps for every row the `keep` best."""
 
     def compare(a: np.ndarray, b: np.ndarray, same: int, dim: int):
         """Index pairs (i in a, j in b) whose similarity may reach the limit; same: a is b from this row on, else -1."""
@@ -193,27 +191,93 @@ def _pairs(min_similarity: float, keep: int, span: int, least: float = 0.998):
     return run
 
 
+def _whole(min_similarity: float, keep: int):
+    """Task over rows sorted by (tab, cell, grp, dim, blk, own first): the `keep` best of each own row among all rows of the cell."""
+
+    def meet(t, best, names, x, no, same):
+        for lo in range(0, len(t), 256):
+            dot = t[lo : lo + 256] @ x.T
+            if same:
+                i = np.arange(len(dot))
+                dot[i, lo + i] = -2
+            top = np.argpartition(-dot, keep - 1, axis=1)[:, :keep] if dot.shape[1] > keep else np.tile(np.arange(dot.shape[1]), (len(dot), 1))
+            d = np.concatenate([best[lo : lo + 256], np.take_along_axis(dot, top, 1)], axis=1)
+            n = np.concatenate([names[lo : lo + 256], no[top]], axis=1)
+            order = np.argpartition(-d, keep - 1, axis=1)[:, :keep]
+            best[lo : lo + 256], names[lo : lo + 256] = np.take_along_axis(d, order, 1), np.take_along_axis(n, order, 1)
+
+    def run(batches):
+        now, own, state = None, [], None
+
+        def start():
+            t, no = np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own])
+            best, names = np.full((len(t), keep), -2, "f4"), np.zeros((len(t), keep), "i8")
+            meet(t, best, names, t, no, True)
+            return t, no, best, names
+
+        def result(state):
+            _, no, best, names = state
+            i, j = np.nonzero(best >= min_similarity - 1e-4)
+            return pa.RecordBatch.from_arrays([pa.array(no[i]), pa.array(names[i, j])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tab, cell, dim, blk, no = (batch.column(c).to_numpy() for c in ("tab", "cell", "dim", "blk", "no"))
+            mine = batch.column("own").to_numpy(zero_copy_only=False)
+            grp = batch.column("grp").dictionary_encode()
+            g, groups = grp.indices.to_numpy(), grp.dictionary.to_pylist()
+            vec = batch.column("code")
+            cut = np.flatnonzero(np.any([np.diff(c) != 0 for c in (tab, cell, dim, blk, g, mine.astype("i1"))], axis=0)) + 1
+            bounds = [0, *cut.tolist(), batch.num_rows]
+            for s, e in zip(bounds, bounds[1:]):
+                which = (groups[g[s]], int(tab[s]), int(cell[s]), int(dim[s]), int(blk[s]))
+                if which != now:
+                    if state or own:
+                        yield result(state or start())
+                    now, own, state = which, [], None
+                x = np.frombuffer(b"".join(vec.slice(s, e - s).to_pylist()), "f4").reshape(-1, int(dim[s]))
+                if mine[s]:
+                    own.append((x, no[s:e]))
+                elif own:
+                    state = state or start()
+                    meet(state[0], state[2], state[3], x, no[s:e], False)
+        if state or own:
+            yield result(state or start())
+
+    return run
+
+
 def similar(
     df: DataFrame, group: str = "collection", key: str = "point_id", vector: str = "dense", k: int = 10,
-    min_similarity: float = 0.9, tables: int = 16, cell_rows: int = 450, span: int = 4096,
+    min_similarity: float = 0.9, tables: int = 16, cell_rows: int = 450, span: int = 4096, block: int = 32768,
 ) -> DataFrame:
     """The k most similar vectors of every vector, as far as their cosine reaches min_similarity.
 
     Returns (grp, point, neighbour, similarity, place): place 1..k, ties by id. In a class of equal vectors the k + 1 smallest ids
     have rows; for any further member the first k of them are its neighbours. A pair at the least similarity s is met with
-    probability 1 - (1 - p^bits)^tables with p = 1 - acos(s)/pi, bits = log2(rows / cell_rows); closer pairs more often."""
+    probability 1 - (1 - p^bits)^tables with p = 1 - acos(s)/pi, bits = log2(rows / cell_rows); closer pairs more often.
+    All pairs of a cell are compared: up to `span` rows in one task, else a block of about `block` rows against the cell in each."""
     spark = df.sparkSession
     classes, members = unique_vectors(df, group, key, vector, k)
     classes = staged(classes.withColumn("no", F.xxhash64("cls")), "vector-classes")
     total = classes.count()
     bits = max(1, round(math.log2(max(2, total) / cell_rows)))
-    celled = classes.select("grp", "no", "v").mapInArrow(_cells(tables, bits), "grp string, tab smallint, cell bigint, dim int, at float, no bigint, code binary")
+    order, schema = ("tab", "cell", "grp", "dim"), "grp string, tab smallint, cell bigint, dim int, no bigint, code binary"
+    celled = classes.select("grp", "no", "v").mapInArrow(_cells(tables, bits), schema)
+    large = celled.groupBy(*order).agg(F.count("*").alias("n")).where(F.col("n") > span)
+    large = staged(large.select(*order, F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-cells")
+    blocks = large.agg(F.sum("blocks")).head()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + total * tables // 400_000)
-    order = ("tab", "cell", "grp", "dim", "at")
-    found = (
-        celled.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .mapInArrow(_pairs(min_similarity, 2 * k, span), "a bigint, b bigint").distinct()
-    )
+    small = celled.join(F.broadcast(large), list(order), "left_anti") if blocks else celled
+    found = small.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_pairs(min_similarity, 2 * k, span), "a bigint, b bigint")
+    if blocks:
+        rows = classes.select("grp", "no", "v").mapInArrow(_cells(tables, bits, floats=True), schema).join(F.broadcast(large), list(order))
+        rows = rows.withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("no"), F.col("blocks")) == F.col("blk")).select(*order, "blk", "own", "no", "code")
+        rows = rows.repartition(max(n, blocks), *order, "blk").sortWithinPartitions(*order, "blk", F.desc("own"))
+        found = found.unionByName(rows.mapInArrow(_whole(min_similarity, 2 * k), "a bigint, b bigint"))
+    found = found.distinct()
     pairs = staged(found, "vector-pairs")
     # verification by the true cosine, only for vectors with a partner
     vec = classes.join(pairs.select(F.col("a").alias("no")).distinct(), "no", "left_semi").select("no", "grp", "cls", "v")
