@@ -84,6 +84,17 @@ def test_search_recall(spark):
     assert len(got) == 300 and hit >= 0.9 * 300
 
 
+def test_search_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", f"p{i:04d}", [float(v) for v in r]) for i, r in enumerate(1 + 0.3 * rng.standard_normal((60, 16)).astype("f4"))]
+    df = points(spark, rows + [rows[0]] * 30 + [rows[1]] * 30).coalesce(1)
+    got = {}
+    for r in vectors.search(df, df.where("point_id < 'p0003'"), share=1.0).orderBy("point", "place").collect():
+        got.setdefault(r.point, []).append(r.neighbour)
+    want = brute(rows, 10, -1)
+    assert got == {p: want["a", p] for p in ("p0000", "p0001", "p0002")}
+
+
 def test_collision_threshold():
     assert vectors.threshold(24, 1.7, 0.998) < 24
     assert vectors.threshold(24, 5.0, 0.9) == 24

@@ -327,6 +327,10 @@ def _found(sent, k: int, share: float, m: int):
                 own = np.flatnonzero((lengths == dim) & (grp == g))
                 if not len(own):
                     continue
+                once: dict = {}  # a repeated row counts once, in the windows too
+                for r in own:
+                    once.setdefault((keys[r], flat[starts[r] : starts[r] + dim].tobytes()), r)
+                own = np.array(list(once.values()))
                 x = flat[(starts[own][:, None] + np.arange(dim)).ravel()].reshape(-1, dim).astype("f8")
                 x /= np.linalg.norm(x, axis=1)[:, None]
                 h = directions(dim, m, 3).astype("f8")
@@ -351,7 +355,10 @@ def _found(sent, k: int, share: float, m: int):
                         half *= 1.25
                     s = np.round(x[near] @ q[i], 9)
                     names = keys[own[near]]
-                    best = np.lexsort((names, -s))[: k + 1]
+                    best = np.lexsort((names, -s))
+                    if len(set(names)) < len(names):  # a point of several vectors stands once, with its nearest
+                        best = best[np.sort(np.unique(names[best], return_index=True)[1])]
+                    best = best[: k + 1]
                     out[0].extend([ids[i]] * len(best))
                     out[1].extend(names[best])
                     out[2].extend(s[best])
@@ -384,4 +391,5 @@ def search(
         found = rows.mapInArrow(_found(spark.sparkContext.broadcast(packed), k, share, m), "point string, neighbour string, similarity double")
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("point").orderBy(F.desc("similarity"), "neighbour")
-    return out.where("point <> neighbour").distinct().withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    out = out.where("point <> neighbour").groupBy("point", "neighbour").agg(F.max("similarity").alias("similarity"))
+    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
