@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, spark_rows, sql_rows
 from tolqyn.llm import queries
@@ -25,3 +26,14 @@ def test_runs_over_the_tables(spark, data, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, data, name):
     assert spark_rows(queries.queries()[name](spark, data)) == sql_rows(connect(data), queries.oracle_sql()[name])
+
+
+def test_languages_of_every_kind_of_record(spark, data):
+    got = queries.p3_languages(spark, data)
+    assert got.columns == ["rec_kind", "rec_id", "langs", "confidences", "shares", "segments"]
+    seen = {r.rec_kind: r["n"] for r in got.groupBy("rec_kind").agg(F.count_distinct("rec_id").alias("n")).collect()}
+    docs, manifest, answers = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "upload_manifest", "answer_results"))
+    keyed = manifest.join(docs.select(F.col("doc_key").alias("relative_path")), "relative_path", "left_semi")
+    want = {"document": docs.select("doc_id"), "manifest": keyed.select("manifest_id"), "answer": answers.select("answer_id")}
+    assert seen == {k: v.distinct().count() for k, v in want.items()}
+    assert got.where("rec_kind = 'answer' and size(langs) > 0 and size(segments) > 0 and size(confidences) = size(langs)").count() > 0

@@ -40,10 +40,19 @@ def p3_model(spark: SparkSession, d: str) -> language.Model:
 
 
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with its languages, their confidence and share of letters, and its segments."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    got = language.assign_languages(docs, p3_model(spark, d)).select("doc_id", "languages.*")
-    return got.select("doc_id", "langs", "confidences", "shares", "segments")
+    """Every document, manifest row and answer with its languages, their confidence and share of letters, and its segments. A
+    manifest row has the text of its document; without one it has no row."""
+    model = p3_model(spark, d)
+    kept = ("langs", "confidences", "shares", "segments")
+    docs = table(spark, d, "documents").select("doc_id", "doc_key", "text")
+    docs = staged(language.assign_languages(docs, model).select("doc_id", "doc_key", "languages"), "document-languages")
+    answers = table(spark, d, "answer_results").select("answer_id", "answer").distinct()
+    answers = language.assign_languages(answers, model, "answer")
+    keyed = docs.groupBy("doc_key").agg(F.min_by("languages", "doc_id").alias("languages"))
+    manifest = table(spark, d, "upload_manifest").select("manifest_id", F.col("relative_path").alias("doc_key")).distinct().join(keyed, "doc_key")
+    parts = [("document", "doc_id", docs), ("manifest", "manifest_id", manifest), ("answer", "answer_id", answers)]
+    found = [p.select(F.lit(kind).alias("rec_kind"), F.col(key).alias("rec_id"), "languages.*").select("rec_kind", "rec_id", *kept) for kind, key, p in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
