@@ -61,6 +61,46 @@ def test_similar_vectors_in_a_dense_cell(spark, block):
     assert sum(got.get(k) == want[k] for k in dense) >= 0.99 * len(dense)
 
 
+def recall_of(spark, x, **settings):
+    x = x.astype("f4")
+    unit = x.astype("f8") / np.linalg.norm(x.astype("f8"), axis=1)[:, None]
+    cosine = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(cosine, -2)
+    want = {(i, int(j)) for i, near in enumerate(np.argsort(-cosine, axis=1, kind="stable")[:, :10]) for j in near if cosine[i, j] >= 0.9}
+    rows = [("a", f"p{i:04d}", [float(v) for v in r]) for i, r in enumerate(x)]
+    got = {(int(r.point[1:]), int(r.neighbour[1:])) for r in vectors.similar(points(spark, rows), **settings).collect()}
+    return len(want & got) / len(want)
+
+
+def test_similar_vectors_with_a_common_direction(spark):
+    rng = np.random.default_rng(8)
+    common = rng.standard_normal(64)
+    x = common / np.linalg.norm(common) * 0.85 + rng.standard_normal((1200, 64)) / 8 * 0.53
+    x = np.concatenate([x, x[:150] + rng.standard_normal((150, 64)) / 8 * 0.36])
+    assert recall_of(spark, x, cell_rows=40, span=150) >= 0.95
+
+
+def test_similar_vectors_of_crowded_cells_are_cut_again(spark):
+    rng = np.random.default_rng(9)
+    tight = rng.standard_normal(16) + 0.12 * rng.standard_normal((500, 16))
+    x = np.concatenate([rng.standard_normal((900, 16)), tight])
+    assert recall_of(spark, x, cell_rows=100, span=200) >= 0.9
+
+
+def test_neighbours_closer_than_the_codes_tell(spark):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal(16) + 3e-4 * rng.standard_normal((400, 16))
+    assert recall_of(spark, x, tables=4) >= 0.9
+
+
+def test_more_rows_take_more_cells_and_tables():
+    sizes = [vectors.sets_of(np.log2(n / 450)) for n in (20_000, 200_000, 60_000_000)]
+    cells = [np.prod([2 * s for s in x]) for x in sizes]
+    assert all(0.7 < c * 450 / n < 1.4 for c, n in zip(cells, (20_000, 200_000, 60_000_000)))
+    chances = [vectors.shared_cell(64, x, 0.9) for x in sizes]
+    assert 1 > chances[0] > chances[1] > chances[2] > 0.1
+
+
 def test_similar_vectors_odd_rows(spark):
     nan = float("nan")
     rows = [("a", "x", [1.0, 0.0]), ("a", "x", [1.0, 0.0]), ("a", "y", [2.0, 0.0]), ("b", "z", [1.0, 0.0]), ("a", "n", None), ("a", "e", []), ("a", "o", [0.0, 0.0]), ("a", "q", [nan, 1.0]), ("a", "w", [1.0, 0.0, 0.0]), (None, "v", [1.0, 0.0]), (None, "u", [1.0, 0.0]), ("a", None, [1.0, 0.0])]
