@@ -266,6 +266,28 @@ def test_refusal_where_the_reference_declines():
     assert pairs.judge(Q, "Я не могу ответить на этот вопрос.", "Извините, я не могу ответить на этот вопрос.")[1][0] is None
 
 
+@pytest.mark.parametrize("answer", [  # none of these is spelt out in the module
+    "Увы, ответить на это я не в состоянии.", "Сведений об этом у меня нет.", "Я не имею никаких данных. Спросите учителя.", "Невозможно подсказать, уточните вопрос.", "Такую тему я не обсуждаю.",
+    "Бұған жауап беру мүмкін емес.", "Кешіріңіз, бұл туралы мәлімет жоқ.", "Мұндай тақырыптарды талқыламаймын.", "Мен түсіндіре алмаймын.",
+    "I was not able to find an answer, sorry.", "Sorry, I can't really tell you.", "There is no information about it here.", "I have to decline to comment.", "We do not discuss such things.",
+])
+def test_refusals_in_other_words(answer):
+    assert pairs.declines(pairs.Text(answer))
+
+
+@pytest.mark.parametrize("answer", [
+    "Нет, ответ не зависит от массы.", "No, the answer does not depend on the mass.", "The data do not change with time.", "Реакции нет.", "Жоқ, тұз ерімейді.", "Учитель не может ошибаться.", "Без данных опыта вывод сделать нельзя, поэтому измеряют массу, объём и температуру раствора несколько раз подряд.",
+])
+def test_answers_that_deny_something_else(answer):
+    assert not pairs.declines(pairs.Text(answer))
+
+
+def test_copied_share(spark):
+    rows = [(1, Q, Q, Q + " Соль растворяется."), (2, Q, None, "Вода."), (3, None, "x", "y")]
+    got = {(r.id, r.field): r.coverage for r in pairs.coverage(spark.createDataFrame(rows, "id long, q string, expected string, answer string")).collect()}
+    assert got[1, "expected"] == 1 and 0.5 < got[1, "answer"] < 1 and got[2, "answer"] == got[2, "expected"] == got[3, "answer"] == 0
+
+
 def test_suffix_automaton_coverage():
     a = pairs.SuffixAutomaton("a b c d a b".split())
     assert a.covered("x b c d y".split(), 3)[0] == 3

@@ -3,21 +3,27 @@
 empty          nothing, invisible characters, or a placeholder
 copy           the answer repeats the whole prompt and nothing else: the answer is run through a suffix automaton of the
                prompt's words; both must be covered by matches of at least three words (or the whole prompt)
-refusal        every sentence declines (automaton of phrases) or is a filler that goes with it, and the reference does not decline too
+refusal        every sentence declines (automaton of denials and of what is denied, a few words apart) or is a filler that goes with it,
+               and the reference does not decline too
 other_language votes of stopwords, endings and letters give another language than the prompt's
 truncated      an open delimiter, a hanging mark or hyphen, or a last sentence without end mark (an ellipsis is none) whose last words
                end no sentence elsewhere
 
-At most one defect per field, in this order. How often words end a sentence is counted over all prompts and answers.
+At most one defect per field, in this order. How often words end a sentence is counted over all prompts and answers, in the same pass
+over the texts: each batch gives its verdicts and its counts.
+
+An answer that repeats the question and adds a word of its own ("... Yes.") is no copy; how much of it is copied is in `coverage`.
 
 Defined results: a null prompt has no words (no copy, no language); repeated rows count once; equal ids with different texts are
 judged row by row and give each defect once; texts of any length are read whole.
 """
 
 import re
+from collections import Counter
+from itertools import repeat
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,10 +32,19 @@ from tolqyn.runtime import staged
 # Fixed values.
 PLACEHOLDERS = ("", "null", "none", "nil", "nan", "n/a", "na", "n.a.", "empty", "(empty)", "_(empty)_", "todo", "tbd", "no answer", "[]", "{}", "нет ответа", "пусто", "жауап жоқ", "undefined")
 COPY_MARKS = ("q", "question", "вопрос", "сұрақ", "в", "с", "prompt")
-DECLINES = (
-    "не могу ответить", "не могу помочь", "не могу дать ответ", "не могу сказать", "не могу выполнить", "не располагаю", "ответа нет", "нет ответа", "нет данных", "нет информации", "не получится", "не разбираю", "не рассматриваю", "не смогу ответить", "не смогу помочь", "отказываюсь", "не имею данных", "затрудняюсь ответить", "ответ не найден", "не нашлось ответа", "не в состоянии ответить", "не знаю ответа",
-    "жауап бере алмаймын", "көмектесе алмаймын", "айта алмаймын", "жауап табылмады", "деректер жоқ", "ақпарат жоқ", "нұсқаулық менде жоқ", "менде жоқ", "қарастырмаймын", "жауап жоқ", "бас тартамын", "жауабын білмеймін",
-    "cannot answer", "can't answer", "cannot help", "can't help", "cannot assist", "can't assist", "unable to answer", "unable to help", "unable to assist", "not able to answer", "not able to help", "do not contain an answer", "does not contain an answer", "don't contain an answer", "no data to answer", "no information", "not something i handle", "do not have the required", "don't have the required", "do not know the answer", "don't know the answer", "i must decline", "i decline", "cannot provide", "can't provide", "won't be able to",
+# A denial and, at most GAP words before or after it, beginnings of what is denied.
+GAP = 4
+DENIALS = (
+    (("не могу", "не смогу", "не в состоянии", "не получится", "невозможно", "отказываюсь", "затрудняюсь", "не берусь", "не умею", "не найден", "не нашел", "не нашёл", "не нашл"), ("ответ", "помо", "сказать", "подсказать", "выполнить", "объяснить")),
+    (("нет", "не располагаю", "не имею", "отсутств", "не содерж"), ("ответа", "данных", "информаци", "сведени", "инструкци")),
+    (("не разбираю", "не рассматриваю", "не обсуждаю", "не отвечаю", "не занимаюсь"), ("вопрос", "тем", "задач")),
+    (("не знаю",), ("ответ", "что ответить", "как ответить")),
+    (("алмаймын", "мүмкін емес", "бас тартамын", "білмеймін", "қиналамын"), ("жауа", "көмек", "айт", "түсіндір", "орында")),
+    (("жоқ", "табылмады", "табылған жоқ", "кездеспеді"), ("жауап", "деректер", "ақпарат", "мәлімет", "нұсқау")),
+    (("қарастырмаймын", "талқыламаймын", "жауап бермеймін"), ("сұрақ", "тақырып", "мәселе")),
+    (("cannot", "can't", "can not", "could not", "unable", "not able", "won't be able", "must decline", "i decline", "have to decline", "refuse"), ("answer", "help", "assist", "respond", "provide", "tell", "comment")),
+    (("no ", "not contain", "n't contain", "not have", "n't have", "not know", "n't know", "lack", "not find", "n't find", "not found"), ("answer to", "an answer", "the answer", "data to", "data for", "information", "required instruction", "the required", "instructions for")),
+    (("not something i", "do not", "don't", "not able to"), ("handle", "discuss", "take such", "deal with")),
 )
 FILLERS = (
     "обратитесь", "попробуйте", "уточните", "задайте", "извините", "простите", "к сожалению", "прошу прощения", "спросите", "переформулируйте",
@@ -48,6 +63,9 @@ END_MARKS = ".!?…;。"
 _WORD = re.compile(r"\w+")
 _INVISIBLE = re.compile(r"[\s\u00ad\u034f\u061c\u115f\u180e\u200b-\u200f\u2028-\u202f\u2060-\u2064\u3164\ufeff]+")
 _KK = re.compile("[әғқңөұүһі]")
+_CLAUSE = re.compile("[,:;]")
+_SENTENCE = re.compile(rf"(?<=[{END_MARKS}])\s+|\n+")
+_ENDED = re.compile(rf"[{END_MARKS})\]}}]$")
 _ELLIPSIS = re.compile(r"\s*(?:…|\.(?:\s?\.){2,})[….]*$")
 
 
@@ -59,15 +77,43 @@ def _automaton(phrases):
     return a
 
 
-_DECLINES, _FILLERS = _automaton(DECLINES), _automaton(FILLERS)
+def _denials():
+    """Matches are (rule, is it the denial), of words from their beginning."""
+    of: dict[str, list] = {}
+    for rule, (denials, matters) in enumerate(DENIALS):
+        for w in denials:
+            of.setdefault(w if w.startswith("n't") else f" {w}", []).append((rule, True))
+        for w in matters:
+            of.setdefault(f" {w}", []).append((rule, False))
+    a = ahocorasick.Automaton()
+    for w, found in of.items():
+        a.add_word(w, (len(w), found))
+    a.make_automaton()
+    return a
+
+
+_DECLINES, _FILLERS = _denials(), _automaton(FILLERS)
 _SHARED = {w for a in STOPWORDS for b in STOPWORDS if a != b for w in set(STOPWORDS[a]) & set(STOPWORDS[b])}
 _STOP = {w: lang for lang, ws in STOPWORDS.items() for w in ws if w not in _SHARED}
 
 
-def is_empty(text: str | None) -> bool:
-    if text is None:
-        return True
-    plain = _INVISIBLE.sub(" ", text).strip().lower()
+class Text:
+    """A text read once: its sentences and their words in lower case."""
+
+    __slots__ = ("raw", "low", "sents", "parts", "words")
+
+    def __init__(self, text: str | None):
+        self.raw = text if isinstance(text, str) else ""
+        self.low = self.raw.lower()
+        self.sents = sentences(self.low)
+        self.parts = [_WORD.findall(s) for s in self.sents]
+        self.words = [w for p in self.parts for w in p]
+
+
+def is_empty(text: Text) -> bool:
+    if len(text.raw) > 40 and text.words:
+        return False
+    plain = _INVISIBLE.sub(" ", text.low).strip()
     return plain.strip("\"'`*") in PLACEHOLDERS or not re.search(r"\w", plain)
 
 
@@ -126,112 +172,155 @@ class SuffixAutomaton:
         return sum(marked), {w for w, m in zip(words, marked) if m}
 
 
-def is_copy(prompt: str | None, answer: str) -> bool:
-    q, a = _WORD.findall((prompt or "").lower()), _WORD.findall(answer.lower())
+def copied(prompt: Text, answer: Text) -> tuple[float, float]:
+    """Shares of the answer's words that lie in runs of the prompt, and of the prompt's words that are met so."""
+    q, a = prompt.words, answer.words
     while a and a[0] in COPY_MARKS and (not q or q[0] != a[0]):
         a = a[1:]
     if len(q) > 1 and q[0].isdecimal() and a and a[0] != q[0]:
         q = q[1:]  # the number of the question
     if not q or not a:
-        return False
-    n, words = SuffixAutomaton(q).covered(a, min(3, len(q)))
-    return n == len(a) and len(words & set(q)) >= 0.9 * len(set(q))
+        return 0.0, 0.0
+    least = min(3, len(q))
+    runs = set(zip(*[q[i:] for i in range(least)]))
+    if runs.isdisjoint(zip(*[a[i:] for i in range(least)])):
+        return 0.0, 0.0  # no run of the least length is shared, so none is covered
+    n, words = SuffixAutomaton(q).covered(a, least)
+    known = set(q)
+    return n / len(a), len(words & known) / len(known)
 
 
 def sentences(text: str) -> list[str]:
-    return [s for s in re.split(rf"(?<=[{END_MARKS}])\s+|\n+", text.strip()) if s.strip()]
+    return [s for s in _SENTENCE.split(text.strip()) if s.strip()]
+
+
+def _denied(low: str) -> int:
+    """Where the last denial with its matter ends, else -1."""
+    met: dict[int, list[tuple[int, int, bool]]] = {}
+    out = -1
+    for end, (size, found) in _DECLINES.iter(low):
+        for rule, denial in found:
+            for start, stop, other in met.get(rule, ()):
+                between = low[stop + 1 : max(stop + 1, end - size + 1)]
+                if other != denial and between.count(" ") <= GAP and not _CLAUSE.search(between):
+                    out = max(out, end)
+            met.setdefault(rule, []).append((end - size + 1, end, denial))
+    return out
 
 
-def declines(text: str | None) -> bool:
+def declines(text: Text) -> bool:
     """Every sentence declines or is a filler, and one does decline."""
-    if not text:
-        return False
     any_ = False
-    for s in sentences(text):
-        low = f" {' '.join(s.lower().replace('’', chr(39)).split())} "
-        no = max((end for end, _ in _DECLINES.iter(low)), default=-1)
+    if _denied(f" {' '.join(text.low.replace('’', chr(39)).split())} ") < 0:
+        return False
+    for s, words in zip(text.sents, text.parts):
+        low = f" {' '.join(s.replace('’', chr(39)).split())} "
+        no = _denied(low)
         if no >= 0:
             # what follows a contrast is content
             rest = min((low.find(c, no) for c in CONTRAST if low.find(c, no) >= 0), default=-1)
             tail = low[rest:] if rest >= 0 else ""
-            if len(_WORD.findall(low)) > 16 or len(_WORD.findall(tail)) > 3 and not any(True for _ in _FILLERS.iter(tail)):
+            if len(words) > 16 or len(_WORD.findall(tail)) > 3 and not any(True for _ in _FILLERS.iter(tail)):
                 return False
             any_ = True
-        elif not (any(True for _ in _FILLERS.iter(low)) and len(_WORD.findall(low)) <= 12):
+        elif not (any(True for _ in _FILLERS.iter(low)) and len(words) <= 12):
             return False
     return any_
 
 
-def voted_language(text: str | None) -> str | None:
+def _vote(w: str) -> tuple[int, int, float, float, float]:
+    """What a word says: letters of Cyrillic or Latin, and votes for ru, kk and en."""
+    if re.search(r"\d", w):
+        return 0, 0, 0.0, 0.0, 0.0
+    latin, own = bool(re.match("[a-z]", w)), bool(_KK.search(w))
+    cyrillic = not latin and (re.match("[а-яё]", w) is not None or _KK.match(w) is not None)
     votes = {"ru": 0.0, "kk": 0.0, "en": 0.0}
+    if w in _STOP:
+        votes[_STOP[w]] += 1
+    if own:
+        votes["kk"] += 1.5
+    elif len(w) > 4 and not latin:
+        for lang in ("ru", "kk"):
+            votes[lang] += 0.5 * w.endswith(ENDINGS[lang])
+        votes["ru"] += 0.3  # a Kazakh word of this length mostly has a letter of its own
+    elif len(w) > 4:
+        votes["en"] += 0.5 * w.endswith(ENDINGS["en"]) + 0.1
+    return int(cyrillic and len(w) > 2), int(latin and len(w) > 2), votes["ru"], votes["kk"], votes["en"]
+
+
+_VOTES: dict[str, tuple] = {}  # by word, in each task's process; emptied when full
+
+
+def voted_language(text: Text) -> str | None:
     cyrillic = latin = 0
-    for w in _WORD.findall((text or "").lower()):
-        if re.search(r"\d", w):
-            continue
-        if re.match("[a-z]", w):
-            latin += len(w) > 2
-        elif re.match("[а-яё]", w) or _KK.match(w):
-            cyrillic += len(w) > 2
-        if w in _STOP:
-            votes[_STOP[w]] += 1
-        if _KK.search(w):
-            votes["kk"] += 1.5
-        elif len(w) > 4 and not re.match("[a-z]", w):
-            for lang in ("ru", "kk"):
-                votes[lang] += 0.5 * w.endswith(ENDINGS[lang])
-            votes["ru"] += 0.3  # a Kazakh word of this length mostly has a letter of its own
-        elif len(w) > 4:
-            votes["en"] += 0.5 * w.endswith(ENDINGS["en"]) + 0.1
-    if latin > 2 * cyrillic:
-        votes["ru"] = votes["kk"] = 0
-    elif cyrillic > 2 * latin:
-        votes["en"] = 0
+    ru = kk = en = 0.0
+    for w in text.words:
+        v = _VOTES.get(w)
+        if v is None:
+            if len(_VOTES) > 200_000:
+                _VOTES.clear()
+            v = _VOTES[w] = _vote(w)
+        cyrillic, latin, ru, kk, en = cyrillic + v[0], latin + v[1], ru + v[2], kk + v[3], en + v[4]
+    votes = {"ru": 0.0 if latin > 2 * cyrillic else ru, "kk": 0.0 if latin > 2 * cyrillic else kk, "en": 0.0 if cyrillic > 2 * latin else en}
     best = max(votes, key=lambda k: votes[k])
     others = max(v for k, v in votes.items() if k != best)
     return best if votes[best] >= 0.8 and votes[best] > others else None
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«"}
+_DELIMITERS = re.compile(r"[()\[\]{}«»]")
+_HANGING = re.compile(r"[,:\-–—(«&/]\s*$")
 
 
 def is_open(text: str) -> bool:
     """A delimiter is open at the end, or the text hangs on a mark or hyphen."""
     stack = []
-    for ch in text:
+    for ch in _DELIMITERS.findall(text):
         if ch in _PAIRS.values():
             stack.append(ch)
         elif ch in _PAIRS and stack and stack[-1] == _PAIRS[ch]:
             stack.pop()
-    return bool(stack) or bool(re.search(r"[,:\-–—(«&/]\s*$", text)) and len(_WORD.findall(text)) > 1
+    return bool(stack) or bool(_HANGING.search(text[-40:])) and len(_WORD.findall(text)) > 1
+
+
+def _masked(words: list[str]) -> list[str]:
+    return [w if w.isalpha() else _DIGITS.sub("#", w) for w in words]
+
+
+_DIGITS = re.compile(r"\d+")
 
 
 def tail_of(text: str) -> tuple[str, str] | None:
     """The last two words and the last word, numbers masked."""
-    words = [re.sub(r"\d+", "#", w) for w in _WORD.findall(text.lower())]
-    return (" ".join(words[-2:]), words[-1]) if words else None
+    words = _masked(_WORD.findall(text.lower())[-2:])
+    return (" ".join(words), words[-1]) if words else None
+
+
+def judge(prompt: str | None, expected: str | None, answer: str | None) -> list[tuple[str | None, str | None, str | None, float]]:
+    """For expected and answer: the defect, or the tail that decides whether the text is complete, and the copied share."""
+    return _judged(Text(prompt), Text(expected), Text(answer))
 
 
-def judge(prompt: str | None, expected: str | None, answer: str | None) -> list[tuple[str | None, str | None, str | None, int]]:
-    """For expected and answer: the defect, or the tail that decides whether the text is complete, and the words of its last sentence."""
+def _judged(prompt: Text, expected: Text, answer: Text) -> list[tuple[str | None, str | None, str | None, float]]:
     out = []
-    reference_declines = declines(expected)
     lang = voted_language(prompt)
-    for field, text in (("expected", expected), ("answer", answer)):
-        defect, tail, last, size = None, None, None, 0
+    for text in (expected, answer):
+        defect, tail, last = None, None, None
+        covered, met = copied(prompt, text)
         if is_empty(text):
             defect = "empty"
-        elif is_copy(prompt, text):
+        elif covered == 1 and met >= 0.9:
             defect = "copy"
-        elif field == "answer" and not reference_declines and declines(text):
+        elif text is answer and declines(text) and not declines(expected):
             defect = "refusal"
         else:
             own = voted_language(text)
-            plain = text.strip().rstrip("\"'»”’* ")
+            plain = text.raw.strip().rstrip("\"'»”’* ")
             if lang and own and own != lang:
                 defect = "other_language"
             elif is_open(plain):
                 defect = "truncated"
-            elif not re.search(rf"[{END_MARKS})\]}}]$", plain := _ELLIPSIS.sub("", plain)):
+            elif not _ENDED.search(plain := _ELLIPSIS.sub("", plain)):
                 ends = sentences(plain)
                 t = tail_of(plain)
                 if t:
@@ -240,53 +329,96 @@ def judge(prompt: str | None, expected: str | None, answer: str | None) -> list[
                     # a value with its unit, a formula or a word is an answer of its own
                     if len(ends) == 1 and (size <= 2 or size <= 5 and re.search(r"\d", ends[-1]) and re.search(r"\d\S*\s*\S{0,4}$", plain)):
                         tail = None
-        out.append((defect, tail, last, size))
+        out.append((defect, tail, last, round(covered, 4)))
     return out
 
 
-VERDICT = "struct<e_defect:string,e_tail:string,e_last:string,e_size:int,a_defect:string,a_tail:string,a_last:string,a_size:int>"
-
-
-def _judge_all(prompt: pd.Series, expected: pd.Series, answer: pd.Series) -> pd.DataFrame:
-    rows = []
-    for q, e, a in zip(prompt, expected, answer):
-        (x, y) = judge(q if isinstance(q, str) else None, e if isinstance(e, str) else None, a if isinstance(a, str) else None)
-        rows.append((*x, *y))
-    return pd.DataFrame(rows, columns=["e_defect", "e_tail", "e_last", "e_size", "a_defect", "a_tail", "a_last", "a_size"])
-
-
-def _tails_of(texts: pd.Series) -> pd.Series:
-    """The last words of each sentence that has an end mark other than an ellipsis; and every word and pair of words, for how often it ends one."""
-    out = []
-    for t in texts:
-        own = []
-        for s in sentences(t) if isinstance(t, str) else []:
-            end = _ELLIPSIS.sub("", s.rstrip("\"'»”’)* "))[-1:]
-            if end and end in END_MARKS:
-                words = [re.sub(r"\d+", "#", w) for w in _WORD.findall(s.lower())]
-                if words:
-                    own.append({"tail": " ".join(words[-2:]), "last": words[-1], "final": True})
-                    own += [{"tail": " ".join(words[i - 1 : i + 1]) if i else None, "last": words[i], "final": False} for i in range(len(words) - 1)]
-        out.append(own)
-    return pd.Series(out)
+def _ends(text: Text, pairs: Counter, words: Counter) -> None:
+    """Counts pairs of words and words of sentences that have an end mark other than an ellipsis: (tail or word, ends the sentence)."""
+    for s, part in zip(text.sents, text.parts):
+        end = _ELLIPSIS.sub("", s.rstrip("\"'»”’)* "))[-1:]
+        if end and end in END_MARKS and part:
+            own = _masked(part)
+            words.update(zip(own[:-1], _NEVER))
+            words[own[-1], True] += 1
+            if len(own) > 1:
+                two = [f"{a} {b}" for a, b in zip(own, own[1:])]
+                pairs.update(zip(two[:-1], _NEVER))
+                pairs[two[-1], True] += 1
+            else:
+                pairs[own[-1], True] += 1
+
+
+_NEVER = repeat(False)
+READ = "field string, key {key}, defect string, tail string, last string, coverage double, ends bigint, places bigint"
+COLUMNS = [x.split()[0] for x in READ.split(", ")]
+
+
+FLUSH = 300_000  # counts that a task holds before it gives them out
+
+
+def _read(batches):
+    """Verdicts of both fields of each row, and counts of the task: under `field` "tail" and "last"."""
+    counts = {"tail": Counter(), "last": Counter()}
+
+    def counted():
+        for field, seen in counts.items():
+            words = list({w for w, _ in seen})
+            ends = [seen[w, True] for w in words]
+            places = [n + seen[w, False] for w, n in zip(words, ends)]
+            own, none = pa.array(words, pa.string()), pa.nulls(len(words), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([field] * len(words), pa.string()), pa.nulls(len(words), key_type), none, *((own, none) if field == "tail" else (none, own)), pa.nulls(len(words), pa.float64()), pa.array(ends, pa.int64()), pa.array(places, pa.int64())], COLUMNS,
+            )
+            seen.clear()
+
+    key_type = None
+    for batch in batches:
+        key_type = batch.column("key").type
+        rows = []
+        for texts in zip(*(batch.column(c).to_pylist() for c in ("q", "e", "a"))):
+            q, e, a = (Text(x) for x in texts)
+            rows += _judged(q, e, a)
+            for text in (q, e, a):
+                _ends(text, counts["tail"], counts["last"])
+        if rows:
+            defect, tail, last, share = zip(*rows)
+            key = batch.column("key").take(pa.array([i // 2 for i in range(len(rows))]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(["expected", "answer"] * batch.num_rows), key, *(pa.array(x, pa.string()) for x in (defect, tail, last)), pa.array(share, pa.float64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], COLUMNS,
+            )
+        if max(map(len, counts.values())) > FLUSH:
+            yield from counted()
+    if key_type is not None:
+        yield from counted()
+
+
+def read_pairs(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer") -> DataFrame:
+    """One pass over the texts: verdicts (key, field, defect, tail, last, coverage), and counts of word pairs and words at ends of sentences."""
+    rows = df.select(F.col(key).alias("key"), F.col(prompt).alias("q"), F.col(expected).alias("e"), F.col(answer).alias("a")).distinct()
+    return staged(rows.mapInArrow(_read, READ.format(key=dict(rows.dtypes)["key"])), "judged-pairs")
 
 
-def defective(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer", least: int = 2, share: float = 0.05) -> DataFrame:
+def defects(read: DataFrame, key: str = "id", least: int = 2, share: float = 0.05) -> DataFrame:
     """(key, field, defect). Two last words count as complete that end a sentence at least `least` times elsewhere, and in at least
     this share of their places (a cut falls on a pair as often as it stands within sentences). The share is low, as there are some
     seven places within sentences for each end, and more complete texts without end mark than cut ones."""
-    judged = F.pandas_udf(_judge_all, VERDICT)
-    ends = F.pandas_udf(_tails_of, "array<struct<tail:string,last:string,final:boolean>>")
-    rows = df.select(F.col(key).alias("key"), F.col(prompt).alias("q"), F.col(expected).alias("e"), F.col(answer).alias("a")).distinct()
-    texts = rows.select(F.explode(F.array("q", "e", "a")).alias("t")).where("t is not null")
-    seen = texts.select(F.explode(ends("t")).alias("s")).select("s.*")
-    tails = seen.where("tail is not null").groupBy("tail").agg(F.count_if("final").alias("tail_n"), F.count("*").alias("tail_all")).where("tail_n > 0")
-    lasts = seen.groupBy("last").agg(F.count_if("final").alias("last_n"), F.count("*").alias("last_all"))
-    got = rows.withColumn("v", judged("q", "e", "a")).select("key", "v.*")
-    long = got.select("key", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), *[F.col(f"{p}_{c}").alias(c) for c in ("defect", "tail", "last", "size")]) for name, p in (("expected", "e"), ("answer", "a"))])).alias("f")).select("key", "f.*")
-    long = staged(long, "judged-pairs")
-    known = long.where("defect is not null").select("key", "field", "defect")
-    asked = long.where("defect is null and tail is not null").join(tails, "tail", "left").join(lasts, "last", "left")
+    tails = read.where("field = 'tail'").groupBy("tail").agg(F.sum("ends").alias("tail_n"), F.sum("places").alias("tail_all")).where("tail_n > 0")
+    lasts = read.where("field = 'last'").groupBy("last").agg(F.sum("ends").alias("last_n"), F.sum("places").alias("last_all"))
+    fields = read.where("field in ('expected', 'answer')").select("key", "field", "defect", "tail", "last")
+    known = fields.where("defect is not null").select("key", "field", "defect")
+    asked = fields.where("defect is null and tail is not null").drop("defect").join(tails, "tail", "left").join(lasts, "last", "left")
     complete = ((F.coalesce("tail_n", F.lit(0)) >= least) & (F.col("tail_n") >= share * F.col("tail_all"))) | ((F.coalesce("last_n", F.lit(0)) >= 3) & (F.col("last_n") >= 0.5 * F.col("last_all")))
     cut = asked.where(~F.coalesce(complete, F.lit(False))).select("key", "field", F.lit("truncated").alias("defect"))
     return known.unionByName(cut).distinct().withColumnRenamed("key", key)
+
+
+def defective(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer", least: int = 2, share: float = 0.05) -> DataFrame:
+    """(key, field, defect) of every unusable field."""
+    return defects(read_pairs(df, key, prompt, expected, answer), key, least, share)
+
+
+def coverage(df: DataFrame, key: str = "id", prompt: str = "q", expected: str = "expected", answer: str = "answer") -> DataFrame:
+    """(key, field, coverage): the largest share of words copied from the prompt, for every field of every row."""
+    read = read_pairs(df, key, prompt, expected, answer).where("field in ('expected', 'answer')")
+    return read.groupBy(F.col("key").alias(key), "field").agg(F.max("coverage").alias("coverage"))

@@ -87,6 +87,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective(table(spark, d, "eval_slim"))
 
 
+def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each reference and reply is copied from the question."""
+    return pairs.coverage(table(spark, d, "eval_slim"))
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """All documents in containers of every profile."""
     limits = [(r.profile, r.capacity_tokens) for r in table(spark, d, "pack_limits").collect()]  # three rows
@@ -134,7 +139,7 @@ def queries() -> dict:
         "p6_packed": p6_packed, "p6_fill": p6_fill,
         "p7_mixed": p7_mixed, "p7_shares": p7_shares,
         "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
-        "p5_found": p5_found,
+        "p5_found": p5_found, "p5_coverage": p5_coverage,
         "p4_found": p4_found, "p4_repaired": p4_repaired,
     }
 
