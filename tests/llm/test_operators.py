@@ -235,7 +235,7 @@ def test_page_repair(spark):
     rows[1] = (1, "f0", 2, "Школьная лабоpатория\nPаствор соли нагревают ост0рожно на слабом огне. Резуль-\nстр. 2")
     rows[2] = (2, "f0", 3, "Школьная лаборатория\nтат опыта записывают в таблицу.\nстр. 3")
     rows += [(100, "g", 1, None), (101, "g", 2, ""), (102, "h", 1, "Раствор соли нагревают осторожно."), rows[0]]
-    got = {r.page_id: r for r in scans.repair(pages(spark, rows), sample=50).collect()}
+    got = {r.page_id: r for r in scans.repair(pages(spark, rows)).collect()}
     assert len(got) == 43
     assert got[1].repaired == "Раствор соли нагревают осторожно на слабом огне. Результат"
     assert got[2].repaired == "опыта записывают в таблицу."

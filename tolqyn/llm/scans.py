@@ -4,11 +4,14 @@
    folds letter case, misread glyphs and a number at either end); a number at the edge is the page's number when its distance
    from the place of the page in the file holds for the file.
 2. The other lines are joined; a word cut at a line end, or running over to the next page, is completed on the page where it starts.
-3. Words are counted over all pages. A rare word is linked to frequent words from which it differs only by plausible glyph
-   edits; skip-gram vectors choose among them by the words around, and refuse a link that fits its surroundings badly.
-4. Pages come out without furniture, with the links applied, as paragraphs split by line feeds.
+3. Words are counted over all pages. A rare word (at most `rare` of all words) is linked to all words `ratio` times as frequent from which
+   it differs only by plausible glyph edits; skip-gram vectors choose among them by the words around, and refuse a link that fits
+   its surroundings badly.
+4. Pages come out without furniture, with the links applied, as paragraphs split by line feeds. A page has a misread character where a
+   link was applied, and only there.
 
-The vectors are trained on a bounded sample of pages (`sample`, in hash order); counts, links, headers and numbers cover all pages.
+Counts, vectors, links, headers and numbers cover all pages. Two things are sent to every task, both of bounded size: the words that are not rare (each
+is more than `rare` of all, so there are at most 1 / rare), and the vectors of the words that are at least `known` of all (at most 1 / known).
 
 Defined results: a page with null or blank text has no defect and empty repaired text; repeated rows count once; of several rows with
 one file and page number the smallest page id continues the page before; ties between links go to the more frequent, then the smaller word.
@@ -20,11 +23,11 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Word2Vec
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tolqyn.llm.sampling import hash_sample
 from tolqyn.runtime import staged
 
 # What a glyph may be misread as (seen, true), from common optical confusions.
@@ -125,7 +128,11 @@ def _page_word(token: str) -> bool:
 def numbers_only(line: str) -> int | None:
     """The number of a line made of a number, marks and at most words for "page"; also "3 of 96"."""
     tokens = re.findall(r"[^\W_]+|\|", line)
+    if len(tokens) > 9:
+        return None
     rest = [t for t in tokens if not _page_word(t)]
+    if len(rest) > 3:
+        return None
     paged = len(rest) < len(tokens)
     found = [as_number(t, paged or bool(re.fullmatch(r"\W+\w\W+", line.strip()))) for t in rest]
     if len(found) == 1 and found[0] is not None:
@@ -204,19 +211,31 @@ def _furniture(page_no: int, text: str | None, edges) -> tuple[set[int], bool, b
     return gone, header, number
 
 
+BODY = "page_id bigint, file_id string, page_no int, running_header boolean, page_number boolean, broken_word boolean, body string, first_word string, runs_over boolean"
+
+
 def _bodies(batches):
-    for pdf in batches:
+    for batch in batches:
         out = []
-        for r in pdf.itertuples():
-            gone, header, number = _furniture(r.page_no, r.text, r.edges)
-            body = [x.rstrip(" \t\r") for i, x in enumerate((r.text or "").split("\n")) if i not in gone]
+        for page_id, file_id, page_no, raw, edges in zip(*(batch.column(c).to_pylist() for c in ("page_id", "file_id", "page_no", "text", "edges"))):
+            gone, header, number = _furniture(page_no, raw, edges)
+            body = [x.rstrip(" \t\r") for i, x in enumerate((raw or "").split("\n")) if i not in gone]
             while body and not body[0].strip():
                 body.pop(0)
             while body and not body[-1].strip():
                 body.pop()
             broken = any(_CUT.search(x) for x in body)
-            out.append((r.page_id, r.file_id, r.page_no, header, number, broken, body, body[0].split()[0] if body else None, bool(body and _CUT.search(body[-1]))))
-        yield pd.DataFrame(out, columns=["page_id", "file_id", "page_no", "running_header", "page_number", "broken_word", "body", "first_word", "runs_over"])
+            out.append((page_id, file_id, page_no, header, number, broken, "\n".join(body), body[0].split()[0] if body else None, bool(body and _CUT.search(body[-1]))))
+        yield _batch(out, BODY)
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = zip(*rows) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[kind]) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields])
 
 
 def _flow(body: list[str], head: str | None, drop: bool) -> list[str]:
@@ -260,24 +279,37 @@ def _flow(body: list[str], head: str | None, drop: bool) -> list[str]:
 _OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 
 
+_SEEN: dict[str, str] = {}  # tokens met in a task's process and their words; emptied when full
+
+
+def word_of(token: str) -> str:
+    """A token in lower case without marks around; empty if it has no letter."""
+    w = _SEEN.get(token)
+    if w is None:
+        if len(_SEEN) > 300_000:
+            _SEEN.clear()
+        w = _OUTER.sub("", token).lower()
+        w = _SEEN[token] = w if re.search(r"[^\W\d_]", w) else ""
+    return w
+
+
 def words_of(text: str) -> list[str]:
     """Words with letters, in lower case, without marks around."""
-    out = []
-    for t in text.split():
-        w = _OUTER.sub("", t).lower()
-        if re.search(r"[^\W\d_]", w):
-            out.append(w)
-    return out
+    return [w for w in map(word_of, text.split()) if w]
+
+
+TEXT = "page_id bigint, running_header boolean, page_number boolean, broken_word boolean, flow string"
 
 
 def _texts(batches):
-    for pdf in batches:
-        flows = ["\n".join(_flow(list(r.body), r.head, bool(r.drop_first))) for r in pdf.itertuples()]
-        yield pd.DataFrame({"page_id": pdf.page_id, "running_header": pdf.running_header, "page_number": pdf.page_number, "broken_word": pdf.broken_word, "flow": flows, "words": [words_of(f) for f in flows]})
+    for batch in batches:
+        kept = ("page_id", "running_header", "page_number", "broken_word")
+        flows = ["\n".join(_flow(body.split("\n") if body else [], head, bool(drop))) for body, head, drop in zip(*(batch.column(c).to_pylist() for c in ("body", "head", "drop_first")))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(flows, pa.string())], [*kept, "flow"])
 
 
 def read_pages(df: DataFrame) -> DataFrame:
-    """(page_id, running_header, page_number, broken_word, flow, words) for every page."""
+    """(page_id, running_header, page_number, broken_word, flow) for every page."""
     pages = df.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.first(F.struct(F.coalesce("file_id", F.lit("")).alias("file_id"), F.coalesce("page_no", F.lit(0)).alias("page_no"), "text")).alias("p")).select("page_id", "p.*")
     pages = staged(pages, "pages")
     edges = pages.mapInPandas(_edges, "page_id bigint, file_id string, page_no int, slot int, key string, number bigint, only boolean, apart boolean")
@@ -288,113 +320,176 @@ def read_pages(df: DataFrame) -> DataFrame:
         edges.join(headers, ["file_id", "key"], "left").join(shifts, ["file_id", "key", "shift"], "left")
         .groupBy("page_id").agg(F.collect_list(F.struct("slot", "key", "number", "only", "apart", F.coalesce("pages", F.lit(0)).alias("pages"), "alike")).alias("edges"))
     )
-    body = pages.join(known, "page_id", "left").mapInPandas(
-        _bodies, "page_id bigint, file_id string, page_no int, running_header boolean, page_number boolean, broken_word boolean, body array<string>, first_word string, runs_over boolean"
-    )
+    body = pages.join(known, "page_id", "left").mapInArrow(_bodies, BODY)
     body = staged(body, "page-bodies")
     # a word running over: its rest is the first word of the next page of the file
     first = body.where("first_word is not null").groupBy("file_id", "page_no").agg(F.min_by("first_word", "page_id").alias("head")).withColumn("page_no", F.col("page_no") - 1)
     over = body.where("runs_over").groupBy("file_id", "page_no").agg(F.lit(True).alias("drop_first")).withColumn("page_no", F.col("page_no") + 1)
     joined = body.join(first, ["file_id", "page_no"], "left").join(over, ["file_id", "page_no"], "left").withColumn("head", F.when(F.col("runs_over"), F.col("head")))
-    return joined.mapInPandas(_texts, "page_id bigint, running_header boolean, page_number boolean, broken_word boolean, flow string, words array<string>")
+    return joined.mapInArrow(_texts, TEXT)
 
 
-def word_vectors(texts: DataFrame, sample: int = 3000, size: int = 24, least: int = 5) -> dict[str, np.ndarray]:
-    """Skip-gram vectors of the words that occur at least `least` times in a sample of pages; their number is bounded by the sample."""
-    part = hash_sample(texts.where(F.size("words") > 3), "page_id", sample, texts.count(), 3)
-    part = staged(part.select(F.slice("words", 1, 4000).alias("words")), "vector-sample")
-    if not part.head(1):
-        return {}
-    model = Word2Vec(vectorSize=size, minCount=least, windowSize=4, maxIter=2, numPartitions=2, seed=5, inputCol="words", outputCol="v", stepSize=0.05).fit(part.repartition(2))
-    rows = model.getVectors().toPandas()
-    return {w: np.asarray(v.toArray(), "f4") / (np.linalg.norm(v.toArray()) + 1e-9) for w, v in zip(rows.word, rows.vector)}
+def _counted(batches):
+    """Task: words and how often they occur, in parts of bounded size."""
+    seen: Counter = Counter()
+    for batch in batches:
+        for flow in batch.column("flow").to_pylist():
+            seen.update(words_of(flow))
+        if len(seen) > 300_000:
+            yield _batch(list(seen.items()), "word string, n bigint")
+            seen.clear()
+    yield _batch(list(seen.items()), "word string, n bigint")
 
 
-def links(texts: DataFrame, ratio: int = 8, least: int = 4) -> DataFrame:
-    """(word, candidates array<struct<edits, n, true_word>>, n): a rare word and the frequent words it may be."""
-    counts = texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, n, key): how often each word occurs, and the key it shares with its misreadings."""
 
     @F.pandas_udf("string")
     def key(words: pd.Series) -> pd.Series:
         return words.map(glyph_key)
 
+    counts = texts.select("flow").mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return staged(counts.withColumn("key", key("word")), "word-counts")
+
+
+class Vectors:
+    """Unit vectors by word; the last row, for words without one, is zero."""
+
+    def __init__(self, words: list[str], rows: np.ndarray):
+        self.at = {w: i for i, w in enumerate(words)}
+        norm = np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9
+        self.rows = np.concatenate([rows / norm, np.zeros((1, rows.shape[1]))]).astype("f4")
+
+    def places(self, words: list[str]) -> list[int]:
+        return [self.at.get(w, -1) for w in words]
+
+
+def word_vectors(texts: DataFrame, total: int, known: float = 2e-6, least: int = 5, size: int = 16) -> Vectors:
+    """Skip-gram vectors of the words that are at least `known` of all `total` words, and occur `least` times: at most 1 / known, whatever
+    the number of pages. Trained on all pages, in parts that follow the number of words."""
+    parts = 2 + total // 1_000_000
+
+    def lists(batches):
+        for batch in batches:
+            yield _batch([(words_of(flow),) for flow in batch.column("flow").to_pylist()], "words array<string>")
+
+    model = Word2Vec(vectorSize=size, minCount=max(least, math.ceil(known * total)), windowSize=3, maxIter=1, numPartitions=parts, seed=5, inputCol="words", outputCol="v", stepSize=0.05)
+    rows = model.fit(texts.select("flow").mapInArrow(lists, "words array<string>")).getVectors().toPandas()
+    return Vectors(rows.word.tolist(), np.stack([v.toArray() for v in rows.vector]))
+
+
+def links(counts: DataFrame, most: int, ratio: int = 8, least: int = 4) -> DataFrame:
+    """(word, candidates): for each word that occurs at most `most` times the words it may be a misreading of, with their
+    counts and edits, as lines of fields split by tabs."""
+
     @F.pandas_udf("int")
     def edits(seen: pd.Series, true: pd.Series) -> pd.Series:
         return pd.Series([plausible(a, b) for a, b in zip(seen, true)], dtype="int32")
 
-    counts = staged(counts.withColumn("key", key("word")), "word-counts")
     frequent = counts.where(F.col("n") >= least).select("key", F.col("word").alias("true_word"), F.col("n").alias("true_n"))
-    pairs = counts.join(frequent, "key").where((F.col("word") != F.col("true_word")) & (F.col("true_n") >= ratio * F.col("n")))
+    pairs = counts.where(F.col("n") <= most).join(frequent, "key").where((F.col("word") != F.col("true_word")) & (F.col("true_n") >= ratio * F.col("n")))
     pairs = pairs.withColumn("edits", edits("word", "true_word")).where("edits < 99")
-    # the sixteen most frequent candidates of a word are enough to choose from
-    w = Window.partitionBy("word").orderBy(F.desc("true_n"), "true_word")
-    pairs = pairs.withColumn("r", F.row_number().over(w)).where("r <= 16")
-    return pairs.groupBy("word").agg(F.max("n").alias("n"), F.collect_list(F.struct("edits", F.col("true_n"), "true_word")).alias("candidates"))
-
-
-def choose(words: list[str], linked: dict[str, list], vectors: dict[str, np.ndarray], refuse: float = -0.2) -> dict[int, str]:
-    """By place of the word: the frequent word it stands for. Of the candidates the one that fits the four words on either side best."""
-    out = {}
-    for i, w in enumerate(words):
-        cands = linked.get(w)
-        if not cands:
+    line = F.concat_ws("\t", "true_word", F.col("true_n").cast("string"), F.col("edits").cast("string"))
+    return pairs.groupBy("word").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("candidates"))
+
+
+def choose(pages: list[list[str]], linked: list[dict[str, list[tuple[str, int, int]]]], vectors: Vectors | None, refuse: float = -0.2) -> list[dict[int, str]]:
+    """For each page, by place of the word: the frequent word it stands for. Of the candidates the one that fits the three words on either side
+    best; none where even that fits badly. A word that mixes scripts is no word, so there the context only chooses."""
+    out: list[dict[int, str]] = [{} for _ in pages]
+    hits = [(p, i) for p, words in enumerate(pages) if linked[p] for i, w in enumerate(words) if w in linked[p]]
+    if not hits:
+        return out
+    around = np.full((len(hits), 6), -1)
+    cands, owner = [], []
+    for h, (p, i) in enumerate(hits):
+        words = pages[p]
+        if vectors:
+            near = vectors.places(words[max(0, i - 3) : i] + words[i + 1 : i + 4])
+            around[h, : len(near)] = near
+        own = linked[p][words[i]]
+        cands += own
+        owner += [h] * len(own)
+    owner = np.array(owner)
+    fit = np.zeros(len(cands))
+    if vectors:
+        mean = vectors.rows[around].sum(axis=1)
+        mean /= np.linalg.norm(mean, axis=1, keepdims=True) + 1e-9
+        fit = np.einsum("ij,ij->i", mean[owner], vectors.rows[vectors.places([c[0] for c in cands])])
+    score = fit + 0.15 * np.log10([c[1] for c in cands]) - 0.25 * np.array([c[2] for c in cands])
+    order = sorted(range(len(cands)), key=lambda c: (owner[c], -score[c], -cands[c][1], cands[c][0]))
+    for place, c in enumerate(order):
+        if place and owner[order[place - 1]] == owner[c]:
             continue
-        around = [vectors[x] for x in words[max(0, i - 4) : i] + words[i + 1 : i + 5] if x in vectors]
-        mean = np.sum(around, axis=0) if around else None
-        if mean is not None:
-            mean = mean / (np.linalg.norm(mean) + 1e-9)
-        best = None
-        for c in sorted(cands, key=lambda c: (-c["true_n"], c["true_word"])):
-            v = vectors.get(c["true_word"])
-            fit = float(v @ mean) if v is not None and mean is not None else 0.0
-            score = fit + 0.15 * math.log10(c["true_n"]) - 0.25 * c["edits"]
-            if best is None or score > best[0]:
-                best = (score, fit, c["true_word"])
-        if best[1] >= refuse or mixed(w):
-            out[i] = best[2]
+        p, i = hits[owner[c]]
+        if fit[c] >= refuse or mixed(pages[p][i]):
+            out[p][i] = cands[c][0]
     return out
 
 
-def repair(df: DataFrame, sample: int = 3000) -> DataFrame:
+def _applied(flow: str, fixes: dict[int, str]) -> str:
+    """The text with the words put right, in the case they stood in."""
+    out, at = [], 0
+    for paragraph in flow.split("\n"):
+        line = []
+        for token in paragraph.split():
+            if word_of(token):
+                if at in fixes:
+                    core, new = _OUTER.sub("", token), fixes[at]
+                    if core.isupper() and len(core) > 1:
+                        new = new.upper()
+                    elif core[:1].isupper() or not core[:1].isalpha() and (not line or re.search(r"[.!?…]$", line[-1])):
+                        new = new[:1].upper() + new[1:]
+                    if core[-1:] == "н" and new[-1:] == "ң" and token.endswith("н,"):
+                        token = token[:-1]  # the comma was the tail of the letter
+                    token = token.replace(core, new, 1)
+                at += 1
+            line.append(token)
+        out.append(" ".join(line))
+    return "\n".join(out)
+
+
+REPAIRED = "page_id bigint, broken_word boolean, misread_char boolean, running_header boolean, page_number boolean, repaired string"
+
+
+def repair(df: DataFrame, rare: float = 1e-4) -> DataFrame:
     """(page_id, broken_word, misread_char, running_header, page_number, repaired) for every page of df(page_id, file_id, page_no, text)."""
     spark = df.sparkSession
     texts = staged(read_pages(df), "page-texts")
-    vectors = spark.sparkContext.broadcast(word_vectors(texts, sample))
-    rare = links(texts)
-    hits = texts.select("page_id", F.explode(F.array_distinct("words")).alias("word")).join(rare, "word")
-    per_page = hits.groupBy("page_id").agg(F.collect_list(F.struct("word", "candidates")).alias("linked"))
+    counts = word_counts(texts)
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    most = max(16, math.floor(rare * total))
+    vectors = spark.sparkContext.broadcast(word_vectors(texts, total) if counts.where("n >= 5").head(1) else None)
+    common = spark.sparkContext.broadcast({r.word for r in counts.where(F.col("n") > most).select("word").toLocalIterator()})
+
+    def rare_words(batches):
+        for batch in batches:
+            pages, flows = (batch.column(c).to_pylist() for c in ("page_id", "flow"))
+            yield _batch([(page, w) for page, flow in zip(pages, flows) for w in set(words_of(flow)) - common.value], "page_id bigint, word string")
 
     def fix(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                words = list(r.words)
-                fixes = choose(words, {x["word"]: list(x["candidates"]) for x in (r.linked if r.linked is not None else [])}, vectors.value)
-                misread = bool(fixes) or any(mixed(w) for w in words)
-                flow, at = [], 0
-                for paragraph in r.flow.split("\n"):
-                    line = []
-                    for token in paragraph.split():
-                        core = _OUTER.sub("", token)
-                        if re.search(r"[^\W\d_]", core):
-                            if at in fixes:
-                                new = fixes[at]
-                                if core.isupper() and len(core) > 1:
-                                    new = new.upper()
-                                elif core[:1].isupper() or not core[:1].isalpha() and (not line or re.search(r"[.!?…]$", line[-1])):
-                                    new = new[:1].upper() + new[1:]
-                                if core[-1:] == "н" and new[-1:] == "ң" and token.endswith("н,"):
-                                    token = token[:-1]  # the comma was the tail of the letter
-                                token = token.replace(core, new, 1)
-                            at += 1
-                        line.append(token)
-                    flow.append(" ".join(line))
-                out.append((r.page_id, bool(r.broken_word), misread, bool(r.running_header), bool(r.page_number), "\n".join(flow)))
-            yield pd.DataFrame(out, columns=["page_id", "broken_word", "misread_char", "running_header", "page_number", "repaired"])
-
-    return texts.join(per_page, "page_id", "left").mapInPandas(
-        fix, "page_id bigint, broken_word boolean, misread_char boolean, running_header boolean, page_number boolean, repaired string"
-    )
+        for batch in batches:
+            cols = {c: batch.column(c) for c in ("page_id", "broken_word", "running_header", "page_number")}
+            flows = batch.column("flow").to_pylist()
+            linked = [_linked(x) for x in batch.column("linked").to_pylist()]
+            fixes = choose([words_of(f) if x else [] for f, x in zip(flows, linked)], linked, vectors.value)
+            done = [_applied(f, x) if x else "\n".join(" ".join(p.split()) for p in f.split("\n")) for f, x in zip(flows, fixes)]
+            yield pa.RecordBatch.from_arrays(
+                [cols["page_id"], cols["broken_word"], pa.array([bool(x) for x in fixes]), cols["running_header"], cols["page_number"], pa.array(done, pa.string())], [x.split()[0] for x in REPAIRED.split(", ")],
+            )
+
+    hits = texts.select("page_id", "flow").mapInArrow(rare_words, "page_id bigint, word string").join(links(counts, most), "word")
+    per_page = hits.groupBy("page_id").agg(F.array_join(F.collect_list(F.concat_ws("\n", "word", "candidates")), "\n\n").alias("linked"))
+    return texts.join(per_page, "page_id", "left").mapInArrow(fix, REPAIRED)
+
+
+def _linked(lines: str | None) -> dict[str, list[tuple[str, int, int]]]:
+    """Candidates by word, from paragraphs of lines: the word, then a candidate on each line."""
+    out = {}
+    for part in lines.split("\n\n") if lines else []:
+        word, *cands = part.split("\n")
+        out[word] = [(w, int(n), int(e)) for w, n, e in (c.split("\t") for c in cands)]
+    return out
 
 
 def defects(repaired: DataFrame) -> DataFrame:
