@@ -39,11 +39,9 @@ from tolqyn.runtime import shared_dir, staged
 
 SEED = 20240607
 COUNTED = 24  # directions on which collisions are counted
-FIRST = 12  # of these, the ones counted for all pairs of a cell; the others only for pairs that collide often on them
 WINDOW = 1.7  # half a window, in units of the radius (the spread of a projected difference)
 WIDEN = (0.35, 0.6, 1.0)  # radii of the windows, as parts of the last
 PART = 256  # directions of one set; larger numbers of cells take several sets
-CODE = 32767  # a unit coordinate as a code
 
 
 def directions(dim: int, n: int, *salt: int) -> np.ndarray:
@@ -149,11 +147,22 @@ def means(classes: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
 
 
 def _codes(x: np.ndarray, floats: bool) -> pa.Array:
-    code = x if floats else np.rint((x @ rotation(x.shape[1]).T) * CODE).astype("i2")
-    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(code.shape[1] * code.itemsize), len(code), [None, pa.py_buffer(np.ascontiguousarray(code).tobytes())])
+    """Unit vectors as they are, or their projections as one byte each after the step between codes, which follows the largest projection."""
+    if not floats:
+        y = x @ rotation(x.shape[1]).T
+        step = np.abs(y).max(axis=1, keepdims=True) / 127
+        x = np.concatenate([step.astype("<f4").view("u1"), np.rint(y / step).astype("i1").view("u1")], axis=1)
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1] * x.itemsize), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())])
     return raw.cast(pa.binary())
 
 
+def _projections(codes: bytes, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Projections of coded rows, and a bound on the length of what rounding took from each."""
+    raw = np.frombuffer(codes, "u1").reshape(rows, -1)
+    step = np.ascontiguousarray(raw[:, :4]).view("<f4")
+    return np.ascontiguousarray(raw[:, 4:]).view("i1") * step, 0.5 * step[:, 0] * math.sqrt(raw.shape[1] - 4)
+
+
 KEYS = ("tab", "cell", "sub", "grp", "dim")
 KEYED = "tab smallint, cell bigint, sub bigint, grp string, dim int"
 
@@ -251,32 +260,31 @@ def _pairs(least: float, k: int, most: int):
     Windows around a row widen until k neighbours within their radius are verified. Given out is whatever may be among the k best in view of
     the rounding of the codes; where that is more than `most`, nothing but the key of the cell, for true products."""
 
-    def near(code: np.ndarray) -> list | None:
-        n, dim = code.shape
-        m, first = min(COUNTED, dim), min(FIRST, dim)
-        unit = code.astype("f4") / CODE
+    def near(unit: np.ndarray, lost: np.ndarray) -> list | None:
+        n, dim = unit.shape
+        m = min(COUNTED, dim)
         radius = math.sqrt(max(0.0, 2 - 2 * least) / dim)
         scale = 127 / min(1.0, 6 / math.sqrt(dim))
         byte = np.clip(np.rint(unit[:, :m] * scale + 128), 0, 255).astype("u1")
-        need_first, need = threshold(first, WINDOW, 0.999), threshold(m, WINDOW, 0.999)
+        need = threshold(m, WINDOW, 0.998)
         halves = [min(126, math.ceil(WINDOW * radius * f * scale) + 1) for f in WIDEN]
-        slack = math.sqrt(dim) / CODE + 1e-6  # bound of the error of a product of codes
         across = np.ascontiguousarray(byte.T)
         out = []
         for lo in range(0, n, 128):
             size = min(128, n - lo)
-            left = across[:first, lo : lo + size] + np.uint8(halves[-1])
+            left = across[:, lo : lo + size] + np.uint8(halves[-1])
             count = np.zeros((size, n), "u1")
             gap, hit = np.empty_like(count), np.empty(count.shape, bool)
-            for d in range(first):
+            for d in range(m):
                 np.subtract(left[d][:, None], across[d][None, :], out=gap)
                 np.less_equal(gap, 2 * halves[-1], out=hit)
                 np.add(count, hit.view("u1"), out=count)
-            i, j = np.nonzero(count >= need_first)
+            i, j = np.nonzero(count >= need)
             ok = i + lo != j
             i, j = i[ok], j[ok]
             a, b = byte[i + lo], byte[j]
             apart = np.maximum(a, b) - np.minimum(a, b)
+            slack = lost[i + lo] + lost[j] + lost[i + lo] * lost[j] + 1e-6  # bound of the error of a product of codes
             dot = np.full(len(i), -2, "f4")
             done = np.zeros(size, bool)
             for f, half in zip(WIDEN, halves):
@@ -284,15 +292,15 @@ def _pairs(least: float, k: int, most: int):
                 new = new[(apart[new] <= half).sum(axis=1) >= need]
                 dot[new] = np.einsum("ij,ij->i", unit[i[new] + lo], unit[j[new]])
                 done |= np.bincount(i[dot >= 1 - f * f * (1 - least) + slack], minlength=size) >= k
-            ok = np.flatnonzero(dot >= least - slack)
-            ok = ok[np.lexsort((-dot[ok], i[ok]))]
-            i, j, dot = i[ok], j[ok], dot[ok]
+            ok = np.flatnonzero(dot + slack >= least)
+            ok = ok[np.lexsort((slack[ok] - dot[ok], i[ok]))]  # by the least that the cosine can be
+            i, j, dot, slack = i[ok], j[ok], dot[ok], slack[ok]
             if not len(i):
                 continue
             start = np.flatnonzero(np.r_[True, np.diff(i) != 0])
             length = np.diff(np.r_[start, len(i)])
-            last = dot[start + np.minimum(k, length) - 1]
-            ok = dot >= np.repeat(last, length) - 2 * slack
+            last = start + np.minimum(k, length) - 1
+            ok = dot + slack >= np.repeat(np.where(length < k, -2, dot[last] - slack[last]), length)
             if np.bincount(i[ok]).max() > most:
                 return None
             out.append((i[ok] + lo, j[ok]))
@@ -301,7 +309,7 @@ def _pairs(least: float, k: int, most: int):
     def answer(key, no: np.ndarray, codes: list[bytes]):
         if len(no) < 2:
             return
-        found = near(np.frombuffer(b"".join(codes), "i2").reshape(len(no), -1))
+        found = near(*_projections(b"".join(codes), len(no)))
         if found is None:
             empty = pa.array([None], pa.int64())
             one = [pa.array([key[0]], pa.int16()), pa.array([key[1]]), pa.array([key[2]]), pa.array([key[3]], pa.string()), pa.array([key[4]], pa.int32())]
