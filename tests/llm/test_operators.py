@@ -351,6 +351,15 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), [("edge", 512)]).count() == 0
 
 
+def test_containers_hold_neighbours_on_the_curve(spark):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, int(rng.integers(50, 700)), int(rng.integers(1 << 36))) for i in range(8000)], "doc_id long, tokens int, hkey long")
+    random = df.withColumn("hkey", F.xxhash64("doc_id"))
+    near = packing.fill_report(packing.pack(df, [("wide", 2048)]), df).head()
+    far = packing.fill_report(packing.pack(random, [("wide", 2048)]), df).head()
+    assert near.fill > 0.97 and near.spread < 0.2 and far.spread > 0.7
+
+
 def test_mixing(spark):
     rows = [(i, "big", 10) for i in range(4000)] + [(10_000 + i, "small", 7) for i in range(100)] + [(20_000, None, 5), (20_001, "big", 0)]
     sized = spark.createDataFrame(rows, "doc_id long, source string, tokens int")
@@ -395,5 +404,13 @@ def test_abuse(spark, abuse_model, text, kinds):
     assert abuse.rates(scored).head().documents == 1
 
 
+def test_insults_that_no_seed_names(spark, data):
+    """With half of the seed words, reviews and shared subwords find most of what all of them find, and next to nothing else."""
+    tables = data.replace("sf0.001", "sf0.1")
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "review_labels"))
+    all_, half = ({tuple(r) for r in abuse.flagged(abuse.score_documents(docs, abuse.fit(docs, labels, every=n))).collect()} for n in (1, 2))
+    assert len(half & all_) >= 0.75 * len(all_) and len(half & all_) >= 0.97 * len(half)
+
+
 def test_disguises_are_undone():
     assert [abuse.plain_word(w) for w in ("SСUMBАG", "ecуac", "п0д0н0к", "дуррррак!", "xxx", "12,5", "«Слово»")] == ["scumbag", "есуас", "подонок", "дурак", "xxx", "", "слово"]

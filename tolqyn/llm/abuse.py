@@ -246,29 +246,30 @@ def disguise(word: str, rng: np.random.Generator) -> str:
     return word[:i] + rng.choice(list("*#_")) + word[i + 1 : -1] + rng.choice(list("*#")) if len(word) > 5 else word
 
 
-def seeds(seed: int = 1) -> list[tuple[str, int]]:
+def seeds(seed: int = 1, every: int = 1) -> list[tuple[str, int]]:
+    """Sentences made of the lists; with `every` above 1 of each n-th word and phrase only, to measure what the others would be missed."""
     rng = np.random.default_rng(seed)
     out: list[tuple[str, int]] = []
     for lang in INSULTS:
-        for w in INSULTS[lang]:
+        for w in INSULTS[lang][::every]:
             for form in rng.choice(INSULT_FORMS[lang], 7, replace=False):
                 out.append((form.format(w), 1))
             for form in rng.choice(INSULT_FORMS[lang], 7, replace=False):
                 out.append((form.format(disguise(w, rng)), 1))
             out += [(w, 1)]
-        for g in GROUPS[lang]:
-            for form in HATE_FORMS[lang]:
+        for g in GROUPS[lang][::every]:
+            for form in HATE_FORMS[lang][::every]:
                 out.append((form.format(g), 2))
-        for form in HATE_FORMS[lang]:
+        for form in HATE_FORMS[lang][::every]:
             for w in form.format("").split():
                 if len(w) > 5 and rng.random() < 0.5:
-                    out.append((form.format(rng.choice(GROUPS[lang])).replace(w, disguise(w.strip(","), rng)), 2))
+                    out.append((form.format(rng.choice(GROUPS[lang][::every])).replace(w, disguise(w.strip(","), rng)), 2))
         head, one, two = HATE_PARTS[lang]
         for _ in range(90):
-            g, a, b = (str(rng.choice(x)) for x in (GROUPS[lang], one, two))
+            g, a, b = (str(rng.choice(x)) for x in (GROUPS[lang][::every], one[::every], two[::every]))
             g, a = (disguise(x, rng) if rng.random() < 0.2 and " " not in x else x for x in (g, a))
             out.append((f"{head.format(g)} {a}, {b}", 2))
-    for s in SEXUAL:
+    for s in SEXUAL[::every]:
         ws = s.split()
         out.append((s, 3))
         for _ in range(8):
@@ -280,11 +281,15 @@ def seeds(seed: int = 1) -> list[tuple[str, int]]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", category: str = "category", sample: int = 4000, background: int = 600) -> Model:
-    """sample: reviewed documents at most, half of them offensive if there are so many; background: further documents, taken as clean."""
+def fit(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", category: str = "category", sample: int = 4000, background: int = 600,
+    longest: int = 20_000, background_sentences: int = 7000, clean_sentences: int = 12_000, every: int = 1,
+) -> Model:
+    """The bounds of what is fitted on: sample, reviewed documents, half of them offensive if there are so many; background, further documents,
+    taken as clean; longest, characters of a document; and sentences of either kind of clean documents, drawn at random. All documents are scored whole."""
     votes = labels.where(F.col(category).isin(*CLASSES)).groupBy(key).agg(F.min(category).alias("low"), F.max(category).alias("high")).where("low = high").select(key, F.col("low").alias("category"))
     there = {r.bad: r["count"] for r in votes.groupBy((F.col("category") != "none").alias("bad")).count().collect()}
-    fit_size = docs.where(F.length(text).between(1, 20_000)).select(key, text)
+    fit_size = docs.where(F.length(text).between(1, longest)).select(key, text)
     reviewed = fit_size.join(votes, key)
     bad = hash_sample(reviewed.where("category <> 'none'"), key, sample // 2, there.get(True, 0), 5).toPandas()
     clean = hash_sample(reviewed.where("category = 'none'"), key, sample // 2, there.get(False, 0), 5).toPandas()
@@ -295,8 +300,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         own = list(dict.fromkeys(s for t in pdf[text] for s in sentences(t)))
         return [own[i] for i in rng.permutation(len(own))[:most]] if len(own) > most else own
 
-    base = seeds()
-    calm = [(s, 0) for s in parts(rest, 7000)]
+    base = seeds(every=every)
+    calm = [(s, 0) for s in parts(rest, background_sentences)]
     first = train(base + calm, epochs=4)
     words, cache = Words(), {}
     teach = set(TEACHING)
@@ -312,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             i = int(p[:, j].argmax())
             if p[i, j] > 0.3:
                 more += [(own[i], j)] * 2
-    own = parts(clean, 12_000)
+    own = parts(clean, clean_sentences)
     p = scored(own)
     for s, q in zip(own, p):
         if q[0] > 0.5:

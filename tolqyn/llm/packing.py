@@ -59,7 +59,7 @@ class Packer:
         return [r for _, number in closed for r in self.rows(number, self.held.pop(number))]
 
 
-def pack(sized: DataFrame, limits: list[tuple[str, int]], window: int = 4096, most_open: int = 256, rows_per_task: int = 250_000) -> DataFrame:
+def pack(sized: DataFrame, limits: list[tuple[str, int]], window: int = 512, most_open: int = 64, rows_per_task: int = 250_000) -> DataFrame:
     """sized: doc_id, tokens, hkey. limits: (profile, capacity), a handful. One row per document part, SCHEMA."""
     spark = sized.sparkSession
     per = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(int(c)).cast("bigint").alias("capacity")) for p, c in limits])).alias("l")
@@ -88,8 +88,19 @@ def pack(sized: DataFrame, limits: list[tuple[str, int]], window: int = 4096, mo
 _COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """Per profile: containers, tokens, the least number of containers that could do, and the share of room used."""
+def fill_report(packed: DataFrame, sized: DataFrame | None = None) -> DataFrame:
+    """Per profile: containers, tokens, the least number of containers that could do, and the share of room used.
+
+    With sized (doc_id, hkey) also `spread`: how far the documents of a container lie from its middle on the curve, on average, as part of how
+    far they lie from the middle of all; about 1 for containers filled in random order."""
     one = packed.groupBy("profile", "capacity", "container_id").agg(F.sum("tokens").alias("used"))
     got = one.groupBy("profile", "capacity").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
-    return got.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+    got = got.withColumn("least_containers", F.ceil(F.col("tokens") / F.col("capacity"))).withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+    if sized is None:
+        return got
+    placed = packed.select("profile", "container_id", "doc_id").join(sized.select("doc_id", F.col("hkey").cast("double").alias("at")), "doc_id")
+    middle = placed.groupBy("profile", "container_id").agg(F.avg("at").alias("mid"), F.count("*").alias("n")).where("n > 1")
+    every = placed.groupBy("profile").agg(F.avg("at").alias("centre"))
+    both = placed.join(middle, ["profile", "container_id"]).join(F.broadcast(every), "profile")  # a row per profile
+    spread = both.groupBy("profile").agg(F.round(F.avg(F.abs(F.col("at") - F.col("mid"))) / F.avg(F.abs(F.col("at") - F.col("centre"))), 4).alias("spread"))
+    return got.join(spread, "profile", "left")

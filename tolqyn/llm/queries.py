@@ -92,15 +92,20 @@ def p5_coverage(spark: SparkSession, d: str) -> DataFrame:
     return pairs.coverage(table(spark, d, "eval_slim"))
 
 
+def _p6_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return staged(tokens.measured(table(spark, d, "documents").select("doc_id", "text"), curve=True), "document-sizes")
+
+
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
     """All documents in containers of every profile."""
     limits = [(r.profile, r.capacity_tokens) for r in table(spark, d, "pack_limits").collect()]  # three rows
-    sized = staged(tokens.measured(table(spark, d, "documents").select("doc_id", "text"), curve=True), "document-sizes")
-    return packing.pack(sized, limits)
+    return packing.pack(_p6_sizes(spark, d), limits)
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(p6_packed(spark, d))
+    limits = [(r.profile, r.capacity_tokens) for r in table(spark, d, "pack_limits").collect()]  # three rows
+    sized = _p6_sizes(spark, d)
+    return packing.fill_report(staged(packing.pack(sized, limits), "containers"), sized)
 
 
 def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
