@@ -169,10 +169,13 @@ def _edge_rows(page_no: int, text: str | None):
     return rows
 
 
+EDGE = "page_id bigint, file_id string, page_no int, slot int, key string, number bigint, only boolean, apart boolean"
+
+
 def _edges(batches):
-    for pdf in batches:
-        out = [(r.page_id, r.file_id, r.page_no, *x) for r in pdf.itertuples() for x in _edge_rows(r.page_no, r.text)]
-        yield pd.DataFrame(out, columns=["page_id", "file_id", "page_no", "slot", "key", "number", "only", "apart"]).astype({"number": "Int64"})
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "file_id", "page_no", "text")))
+        yield _batch([(page_id, file_id, page_no, *x) for page_id, file_id, page_no, text in rows for x in _edge_rows(page_no, text)], EDGE)
 
 
 def _furniture(page_no: int, text: str | None, edges) -> tuple[set[int], bool, bool]:
@@ -312,7 +315,7 @@ def read_pages(df: DataFrame) -> DataFrame:
     """(page_id, running_header, page_number, broken_word, flow) for every page."""
     pages = df.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.first(F.struct(F.coalesce("file_id", F.lit("")).alias("file_id"), F.coalesce("page_no", F.lit(0)).alias("page_no"), "text")).alias("p")).select("page_id", "p.*")
     pages = staged(pages, "pages")
-    edges = pages.mapInPandas(_edges, "page_id bigint, file_id string, page_no int, slot int, key string, number bigint, only boolean, apart boolean")
+    edges = staged(pages.mapInArrow(_edges, EDGE), "page-edges")  # read three times below
     edges = edges.withColumn("shift", F.col("number") - F.col("page_no"))
     headers = edges.where("key <> '' and not only").select("file_id", "key", "page_no").distinct().groupBy("file_id", "key").agg(F.count("*").alias("pages"))
     shifts = edges.where("number is not null and (only or key <> '')").select("file_id", "key", "shift", "page_no").distinct().groupBy("file_id", "key", "shift").agg(F.count("*").alias("alike"))
