@@ -1,6 +1,6 @@
 """Sliding windows over normalised texts, with places, pages and headings."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tolqyn.operators.running import sum_before
@@ -54,24 +54,39 @@ def pages_of_windows(pages: DataFrame, size: int = 800, overlap: int = 120) -> D
     return rows.groupBy("file_id", "chunk_index").agg(F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count("*").alias("page_count"))
 
 
-HEADING = r"^#{1,6}\s+\S"
+# Words that open a heading; those of chapters, the others are of sections.
+CHAPTER_WORDS = ("глава", "тарау", "chapter", "unit")
+SECTION_WORDS = ("раздел", "параграф", "бөлім", "section", "lesson")
+# a heading is a line, with or without Markdown's marks, of such a word or the sign §, and at most 150 characters more
+_WORD_END = r"($|[^\p{L}\p{N}_].*)"
+CHAPTER = rf"^({'|'.join(CHAPTER_WORDS)}){_WORD_END}"
+SECTION = rf"^(({'|'.join(SECTION_WORDS)}){_WORD_END}|§.*)"
 
 
-def headings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, offset in the normalised text, title, for each line that is a Markdown heading."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(text, "\n")).alias("n", "line")).select("key", "n", flat(F.col("line")).alias("line")).where("line <> ''")
-    over = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one text
-    lines = lines.withColumn("offset", F.coalesce(F.sum(F.length("line") + 1).over(over), F.lit(0)))
-    return lines.where(F.col("line").rlike(HEADING)).select(F.col("key").alias(key), "offset", F.regexp_replace("line", r"^#{1,6}\s+", "").alias("title"))
+def heading_marks(text: Column) -> Column:
+    """array<struct<at, kind, title>> of the headings of a text, `at` in the normalised text; one pass over its lines."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,kind:string,title:string>>").alias("marks"))
 
+    def step(acc, line):
+        title = F.regexp_replace(line, r"^#{1,6}\s+", "")
+        kind = F.when(F.lower(title).rlike(CHAPTER), "chapter").when(F.lower(title).rlike(SECTION), "section")
+        found = F.when(kind.isNotNull() & (F.length(title) <= 160), F.array(F.struct(acc["at"].alias("at"), kind.alias("kind"), title.alias("title"))))
+        marks = F.when(found.isNotNull(), F.concat(acc["marks"], found)).otherwise(acc["marks"])
+        return F.struct((acc["at"] + F.when(line == "", 0).otherwise(F.length(line) + 1)).alias("at"), marks.alias("marks"))
 
-def heading_of_chunks(df: DataFrame, key: str, text: str = "text", size: int = 800, overlap: int = 120) -> DataFrame:
-    """key, chunk_index, title of the last heading that starts before the piece ends; as-of by a window over both kinds of rows."""
-    marks = headings(df, key, text).select(key, F.col("offset").alias("at"), "title", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("chunk_index"))
-    ends = chunks(df.select(key, text), text, size, overlap).select(key, F.col("char_end").alias("at"), F.lit(None).cast("string").alias("title"), F.lit(-1).alias("kind"), "chunk_index")
-    over = Window.partitionBy(key).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = marks.unionByName(ends).withColumn("heading", F.last("title", ignorenulls=True).over(over))
-    return both.where("kind = -1").select(key, "chunk_index", "heading")
+    return F.aggregate(F.transform(F.split(text, "\n"), flat), start, step, lambda acc: acc["marks"])
+
+
+def with_headings(df: DataFrame, text: str = "text", size: int = 800, overlap: int = 120) -> DataFrame:
+    """chunks(df), and the title of the last chapter and section that starts before a piece ends. The marks of a text travel with
+    its row, so neither a join nor a shuffle is needed."""
+    rows = chunks(df.withColumn("_marks", heading_marks(F.col(text))), text, size, overlap)
+
+    def last(kind: str) -> Column:
+        before = F.filter("_marks", lambda m: (m["kind"] == kind) & (m["at"] < F.col("char_end")))
+        return F.get(before, F.size(before) - 1)["title"].alias(kind)
+
+    return rows.select("*", last("chapter"), last("section")).drop("_marks")
 
 
 def uuid5(name: Column, namespace: str = "6ba7b8119dad11d180b400c04fd430c8") -> Column:

@@ -60,10 +60,79 @@ def low_quality(df: DataFrame, raw: Column, cleaned: Column) -> DataFrame:
     return rows.withColumn("low_quality", F.coalesce(low, F.lit(True))).drop("_r", "_c", "_w")
 
 
+def repeated(items: Column, times: int) -> Column:
+    """The different elements that occur at least so often: in sorted order an element equals the one times - 1 places on."""
+    found = F.transform(F.array(F.array_sort(items)), lambda a: F.filter(a, lambda x, i: F.get(a, i + (times - 1)) == x))
+    return F.array_distinct(F.get(found, 0))
+
+
 def repeated_lines(text: Column) -> Column:
     """Lines of a text that occur four times or more, are short and end no sentence."""
     lines = F.filter(F.transform(F.split(F.lower(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: (F.length(x) > 0) & (F.length(x) <= 140) & ~x.rlike(r"[.!?…]$"))
-    return F.array_sort(F.filter(F.array_distinct(lines), lambda x: F.size(F.filter(lines, lambda y: y == x)) >= 4))
+    return F.array_sort(repeated(lines, 4))
+
+
+# Wording and marks of artifacts in extracted text.
+NOTICE_SITE = r"(^|[^\p{L}\p{N}_])okulyk\.(com|kz)($|[^\p{L}\p{N}_])"
+NOTICE_STARTS = (
+    "книга предоставлена исключительно в образовательных целях", "согласно приказа министра образования и науки республики казахстан", "приказа министра образования и науки республики казахстан",
+    "республики казахстан от 17 мая 2019 года", "от 17 мая 2019 года № 217", "все учебники казахстана ищите на сайтах", "все учебники казахстана на",
+)
+RULE = r"^[\s|:+\-_*`#>]+$"
+TABLE_MARKS = r"[|*_`#>:()\[\]{}+\-/\\]"
+PAGE_TOKEN = r"(?i)(^|[^\p{L}\p{N}_])page\s*\d{1,5}\b"
+
+
+def is_artifact(line: Column) -> Column:
+    """A watermark, a rule of a table, a page label, or a row of at least four bare numbers."""
+    flat = F.trim(F.regexp_replace(line, r"\s+", " "))
+    folded = F.btrim(F.lower(flat), F.lit(" *_`#>|-"))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(line, TABLE_MARKS, " "), r"\s+", " "))
+    notice = folded.rlike(NOTICE_SITE)
+    for start in NOTICE_STARTS:
+        notice = notice | folded.startswith(start)
+    label = F.lower(plain).rlike(r"^page ?[0-9]{1,5}( [0-9]{1,5})*$")
+    numbers = plain.rlike("^[0-9 ]+$") & (F.size(F.regexp_extract_all(plain, F.lit("[0-9]{1,5}"), F.lit(0))) >= 4)
+    return (flat != "") & (notice | (line.rlike(RULE) & line.rlike("[|_-]")) | label | numbers)
+
+
+def clean_extraction(text: Column) -> Column:
+    """A text without artifact lines and page labels; short lines that are no sentences and make up three quarters of its words, out of
+    at most 24 different ones, go too. Null and blank texts give an empty one. All within the row: lines are sorted, not compared in pairs."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: ~is_artifact(x))
+    lines = F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, PAGE_TOKEN, "$1 "), r"\s+", " "))), lambda x: x != "")
+
+    def short(x: Column) -> Column:
+        return F.size(tokens(x)).between(1, 12) & (F.length(x) <= 140) & ~F.lower(x).rlike(r"[.!?…][\s*_`]*$")
+
+    def cut(kept: Column) -> Column:
+        often = repeated(F.filter(F.transform(kept, F.lower), short), 4)
+        return F.get(F.transform(F.array(often), lambda bad: F.when(dominates(kept, bad), F.filter(kept, lambda x: ~F.array_contains(bad, F.lower(x)))).otherwise(kept)), 0)
+
+    def dominates(kept: Column, bad: Column) -> Column:
+        words = F.array_distinct(F.flatten(F.transform(bad, tokens)))
+        total = F.aggregate(kept, F.lit(0), lambda n, x: n + F.size(tokens(x)))
+        own = F.aggregate(F.filter(kept, lambda x: F.array_contains(bad, F.lower(x))), F.lit(0), lambda n, x: n + F.size(tokens(x)))
+        return (F.size(bad) > 0) & (F.size(words) <= 24) & (own >= 0.75 * total)
+
+    return F.array_join(F.get(F.transform(F.array(lines), cut), 0), "\n")
+
+
+def materially_better(df: DataFrame, candidate: str, baseline: str) -> DataFrame:
+    """df with `better`: the candidate text is usable, and the baseline is not or has a good deal fewer words."""
+    rows = fixed(df, _cc=clean_extraction(F.col(candidate)), _bc=clean_extraction(F.col(baseline)))
+    rows = low_quality(rows, F.col(candidate), F.col("_cc")).withColumnRenamed("low_quality", "_cl")
+    rows = low_quality(rows, F.col(baseline), F.col("_bc")).withColumnRenamed("low_quality", "_bl")
+    c, b = F.size(tokens(F.col("_cc"))), F.size(tokens(F.col("_bc")))
+    return rows.withColumn("better", ~F.col("_cl") & (F.col("_bl") | (c >= F.greatest(b + 25, b * F.lit(1.2))))).drop("_cc", "_bc", "_cl", "_bl")
+
+
+def better_book_text(converted: Column, spine: Column, recognised: Column, trust: int = 500, least: int = 50) -> Column:
+    """Text of a book: what the converter gave if it has enough words, else the longer of that and the text of the spine; below `least` words the
+    recognised text if it has so many, else an empty one."""
+    n = [F.size(words(F.coalesce(x, F.lit("")))) for x in (converted, spine, recognised)]
+    best = F.when((n[0] >= trust) | (n[0] >= n[1]), F.coalesce(converted, F.lit(""))).otherwise(spine)
+    return F.when(F.size(words(best)) >= least, best).when(n[2] >= least, recognised).otherwise("")
 
 
 # Named entities that occur in exported pages.

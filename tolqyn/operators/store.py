@@ -60,15 +60,38 @@ def generations(points: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.col("pieces") == F.col("expected"))
 
 
+def generation_order(generation: Column) -> Column:
+    """Orders names of generations as they are counted: g9 before g10; names without a number by themselves."""
+    number = F.regexp_extract(generation, r"(\d+)$", 1)
+    return F.struct(F.coalesce(number.try_cast("decimal(38,0)"), F.lit(-1).cast("decimal(38,0)")), generation)
+
+
+def newest_complete(points: DataFrame) -> DataFrame:
+    """(collection, doc_id, generation): of each document the newest generation all of whose pieces are there."""
+    whole = generations(points).where("complete")
+    return whole.groupBy("collection", "doc_id").agg(F.max_by("generation", generation_order(F.col("generation"))).alias("generation"))
+
+
 def delete_documents(points: DataFrame, doomed: DataFrame) -> DataFrame:
     """Points that stay when the documents of doomed(doc_id) go."""
     return points.join(doomed.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+def with_defaults(points: DataFrame) -> DataFrame:
+    """Payload fields that follow from others where they are missing: source_path, source_type, file_type."""
+    name = F.coalesce("filename", F.col("source_path"), F.col("source"))
+    return points.select(
+        "*", F.coalesce("source_path", "source").alias("_path"), F.coalesce("doc_type", F.lit("document")).alias("source_type"), F.coalesce("file_type", F.nullif(F.lower(F.regexp_extract(name, r"\.([^./]+)$", 1)), F.lit(""))).alias("_type"),
+    ).withColumns({"source_path": F.col("_path"), "file_type": F.col("_type")}).drop("_path", "_type")
+
+
 def replace_generation(existing: DataFrame, staged: DataFrame) -> DataFrame:
-    """The store after an upload: of a document that was staged, older generations are superseded and the new one is active."""
-    new = staged.groupBy("doc_id").agg(F.max("generation").alias("_new"))
-    both = existing.unionByName(staged, allowMissingColumns=True).join(new, "doc_id", "left")
-    current = F.col("generation") == F.col("_new")
-    status = F.when(F.col("_new").isNull(), F.col("status")).when(current, "active").otherwise("superseded")
+    """The store after an upload: of a document of which a complete generation was staged, the newest such one is active and all others
+    are superseded. What was staged of an incomplete one waits as it is, and the document keeps the generation it had.
+
+    staged: collection, doc_id, generation, chunk_index, chunk_count, and what else the store has."""
+    new = newest_complete(staged.withColumn("active_generation", F.lit(None).cast("string"))).withColumnRenamed("generation", "_new")
+    both = existing.unionByName(staged, allowMissingColumns=True).join(new, ["collection", "doc_id"], "left")
+    order = F.when(F.col("_new").isNull(), F.lit(None)).otherwise(generation_order(F.col("generation")) > generation_order(F.col("_new")))
+    status = F.when(F.col("_new").isNull() | F.coalesce(order, F.lit(False)), F.col("status")).when(F.col("generation") == F.col("_new"), "active").otherwise("superseded")
     return both.withColumn("status", status).withColumn("active_generation", F.coalesce("_new", "active_generation")).drop("_new")

@@ -1,13 +1,11 @@
 """Answer streams, keys, options, transitions, set operations and streaming forms, with DuckDB counterparts."""
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tolqyn.operators import speech_flow, store, understanding as u
 from tolqyn.plans import pipeline
-from tolqyn.runtime import shared_dir, table
+from tolqyn.runtime import table
 from tolqyn.streaming import flows
 
 
@@ -100,8 +98,7 @@ def _stream(spark, d):
 
 
 def _run(spark, df, mode):
-    name = "s" + uuid.uuid4().hex
-    return flows.run_once(df, name, mode, f"{shared_dir(spark)}/stream-{name}")
+    return flows.run_once(df, "events", mode)
 
 
 def stream_tumbling(spark, d):

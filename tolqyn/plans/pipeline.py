@@ -1,6 +1,6 @@
 """From documents to points of the store, and from a question to its context: the two ways through the engine."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tolqyn.functions.embedding import hashed
@@ -12,12 +12,14 @@ def ingest(docs: DataFrame, collection: str, generation: str, size: int = 800, o
     """Points of documents(doc_key, text, and metadata): usable pieces with ids, places, headings and vectors, staged as one generation.
 
     Ids follow from key, generation and number, so a second run makes the same points."""
-    pieces = chunking.chunks(docs, size=size, overlap=overlap).where(quality.usable(F.col("chunk")))
-    heads = chunking.heading_of_chunks(docs.select("doc_key", "text"), "doc_key", size=size, overlap=overlap).withColumnRenamed("heading", "section")
+    pieces = chunking.with_headings(docs.drop("section", "chapter"), size=size, overlap=overlap).where(quality.usable(F.col("chunk")))
+    # pieces that are not usable leave no gap, as completeness is judged by their number
+    of_doc = Window.partitionBy("doc_key")
+    pieces = pieces.withColumns({"chunk_index": F.row_number().over(of_doc.orderBy("chunk_index")) - 1, "chunk_count": F.count("*").over(of_doc).cast("int")})
     name = F.concat_ws(":", "doc_key", F.lit(generation), F.col("chunk_index").cast("string"))
-    rows = pieces.join(heads, ["doc_key", "chunk_index"], "left").select(
+    rows = pieces.select(
         F.lit(collection).alias("collection"), chunking.uuid5(name).alias("point_id"), chunking.uuid5(F.col("doc_key")).alias("doc_id"), F.lit(generation).alias("generation"),
-        F.lit(None).cast("string").alias("active_generation"), F.lit("staging").alias("status"), *[c for c in pieces.columns if c not in ("chunk", "doc_id", "file_id", "lab_id")], "section", F.col("chunk").alias("text"),
+        F.lit(None).cast("string").alias("active_generation"), F.lit("staging").alias("status"), *[c for c in pieces.columns if c not in ("chunk", "doc_id", "file_id", "lab_id")], F.col("chunk").alias("text"),
     )
     return hashed(rows, "text")
 

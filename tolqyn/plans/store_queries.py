@@ -24,9 +24,9 @@ def _dense_points(spark, d):
 
 
 def _queries(spark, d):
-    """The first pieces of every document whose id is divisible by 100."""
+    """All pieces of every document whose id is divisible by 100."""
     docs = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("file_id").alias("doc_id")).distinct()
-    p = store.visible(_points(spark, d)).where("chunk_index = 0 and size(dense) > 0").join(docs, "doc_id", "left_semi")
+    p = store.visible(_points(spark, d)).where("size(dense) > 0").join(docs, "doc_id", "left_semi")
     return p.select(F.col("point_id").alias("query_id"), "lang", "subject", "grade", "dense", "sparse_indices", "sparse_values").dropDuplicates(["query_id"])
 
 
@@ -34,7 +34,7 @@ SQL_BASE = f"""
 pts AS (SELECT point_id, any_value(collection) AS collection, any_value(doc_id) AS doc_id, any_value(doc_type) AS doc_type, any_value(subject) AS subject, any_value(grade) AS grade, any_value(lang) AS lang, any_value(dense) AS dense, any_value(sparse_indices) AS sparse_indices, any_value(sparse_values) AS sparse_values
         FROM chunks WHERE {VISIBLE} AND len(dense) > 0 GROUP BY point_id),
 qs AS (SELECT c.point_id AS query_id, any_value(c.lang) AS lang, any_value(c.subject) AS subject, any_value(c.grade) AS grade, any_value(c.dense) AS dense, any_value(c.sparse_indices) AS sparse_indices, any_value(c.sparse_values) AS sparse_values
-       FROM chunks c WHERE {VISIBLE} AND c.chunk_index = 0 AND len(c.dense) > 0 AND c.doc_id IN (SELECT file_id FROM documents WHERE doc_id % 100 = 0) GROUP BY c.point_id),
+       FROM chunks c WHERE {VISIBLE} AND len(c.dense) > 0 AND c.doc_id IN (SELECT file_id FROM documents WHERE doc_id % 100 = 0) GROUP BY c.point_id),
 dn AS (SELECT q.query_id, p.point_id, p.lang, p.subject, p.grade, q.lang AS q_lang, q.subject AS q_subject, q.grade AS q_grade, round(list_cosine_similarity(q.dense::DOUBLE[], p.dense::DOUBLE[]), 6) AS score
        FROM qs q CROSS JOIN pts p WHERE list_sum(list_transform(p.dense, lambda x: abs(x))) > 0 AND list_sum(list_transform(q.dense, lambda x: abs(x))) > 0),
 dr AS (SELECT * FROM (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dn) t WHERE rank <= 20),
@@ -64,11 +64,14 @@ def score_threshold(spark, d):
     return retrieval.dense_topk(_dense_points(spark, d), _queries(spark, d), 20).where("score >= 0.5")
 
 
+TIERS = (("subject", "grade", "lang"), ("subject", "grade"), ("subject", "lang"), ("subject",))
+
+
 def _tiers(spark, d):
-    """Of each query's own language: first its subject and grade, then its subject, then everything of the language."""
+    """The query's subject and grade, then its subject; of either first what is in its own language, then what is in any."""
     p, q = _dense_points(spark, d), _queries(spark, d)
     tiers = []
-    for cols in (("subject", "grade", "lang"), ("subject", "lang"), ("lang",)):
+    for cols in TIERS:
         tag, ok = F.concat_ws("|", *cols), " and ".join(f"{c} is not null" for c in cols)
         tiers.append(retrieval.dense_topk(p.where(ok).withColumn("scope", tag), q.where(ok).withColumn("scope", tag), 5, scope="scope"))
     return tiers
@@ -78,14 +81,17 @@ def tiered_retrieval(spark, d):
     return retrieval.tiered(_tiers(spark, d), 5)
 
 
-SQL_TIERS = """
-t0 AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dn WHERE lang = q_lang AND subject = q_subject AND grade = q_grade QUALIFY rank <= 5),
-t1 AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dn WHERE lang = q_lang AND subject = q_subject QUALIFY rank <= 5),
-t2 AS (SELECT query_id, point_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dn WHERE lang = q_lang QUALIFY rank <= 5),
-ta AS (SELECT *, 0 AS tier FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2),
+SQL_TIERS = (
+    ",\n".join(
+        f"t{n} AS (SELECT query_id, point_id, score, {n} AS tier, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, point_id) AS rank FROM dn WHERE {' AND '.join(f'{c} = q_{c}' for c in cols)} QUALIFY rank <= 5)"
+        for n, cols in enumerate(TIERS)
+    )
+    + """,
+ta AS (SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t2 UNION ALL SELECT * FROM t3),
 td AS (SELECT * FROM ta QUALIFY row_number() OVER (PARTITION BY query_id, point_id ORDER BY tier, rank) = 1)
 SELECT query_id, point_id, score, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank, point_id) AS place FROM td QUALIFY place <= 5
 """
+)
 
 
 def visible_points(spark, d):

@@ -42,7 +42,8 @@ def page_overlap_join(spark, d):
 
 
 def heading_asof(spark, d):
-    return chunking.heading_of_chunks(_docs(spark, d), "doc_id")
+    """Pieces with the chapter and section they lie in."""
+    return chunking.with_headings(_docs(spark, d)).select("doc_id", "chunk_index", "chapter", "section")
 
 
 def word_counts(spark, d):
@@ -56,8 +57,28 @@ def usable_text(spark, d):
 
 
 def low_quality_text(spark, d):
-    t = F.regexp_replace("text", "[|#]", " ")
-    return quality.low_quality(_docs(spark, d), F.col("text"), t).select("doc_id", "low_quality")
+    rows = quality.fixed(_docs(spark, d), cleaned=quality.clean_extraction(F.col("text")))
+    return quality.low_quality(rows, F.col("text"), F.col("cleaned")).select("doc_id", "low_quality")
+
+
+def cleaned_text(spark, d):
+    """Documents without artifact lines, page labels and dominating repeated lines."""
+    got = quality.fixed(_docs(spark, d), cleaned=quality.clean_extraction(F.col("text")))
+    return got.select("doc_id", F.md5("cleaned").alias("cleaned_md5"), F.length("cleaned").alias("chars"))
+
+
+def artifact_lines(spark, d):
+    """Lines of scanned pages that are watermarks, rules or page labels."""
+    lines = table(spark, d, "ocr_pages").select("page_id", "text").distinct().select("page_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(quality.is_artifact(F.col("line"))).groupBy("page_id").agg(F.count("*").alias("artifacts"))
+
+
+def better_text(spark, d):
+    """Of a document and the text of its file's scanned pages: is the latter materially better?"""
+    pages = table(spark, d, "ocr_pages").where("text is not null").select("file_id", "page_no", "text").distinct()
+    scanned = pages.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda x: x["text"]), "\n").alias("ocr"))
+    docs = table(spark, d, "documents").select("doc_id", "file_id", F.coalesce("text", F.lit("")).alias("text")).join(scanned, "file_id", "left").withColumn("ocr", F.coalesce("ocr", F.lit("")))
+    return quality.materially_better(docs, "ocr", "text").select("doc_id", "better")
 
 
 def ngram_diversity(spark, d):
@@ -97,6 +118,27 @@ def scope_gate(spark, d):
     return e.select("id", F.coalesce(refusal, F.lit("")).alias("refusal"))
 
 
+def missing_evidence(spark, d):
+    """Answers that refuse because the material holds no evidence."""
+    a = table(spark, d, "answer_results").select("answer_id", "answer").distinct()
+    return a.select("answer_id", u.is_missing_evidence(F.col("answer")).alias("missing"))
+
+
+def answer_modes(spark, d):
+    """Answers with the private mark of their mode taken off, and whether they are general knowledge. The tables hold no marks, so they are put on
+    by turns; an answer without one counts as general if no file stands behind it."""
+    a = table(spark, d, "answer_results").select("answer_id", "answer", F.col("primary_file_id").isNull().alias("bare")).distinct()
+    mark = F.when(F.col("answer_id") % 3 == 0, u.GENERAL_MARK + " ").when(F.col("answer_id") % 3 == 1, u.GROUNDED_MARK).otherwise("")
+    text, general = u.answer_mode(F.concat(mark, F.coalesce("answer", F.lit(""))), F.lit(True), F.col("bare"))
+    return a.select("answer_id", F.md5(text).alias("answer_md5"), general.alias("general"))
+
+
+def fallback_gate(spark, d):
+    """Whether general knowledge may answer a question: the expected answer as the lab's instruction, its lab as the active one."""
+    e = table(spark, d, "eval_slim")
+    return e.select("id", u.general_fallback(F.col("q"), [F.col("expected")], F.lit(True), F.col("lab").isNotNull()).alias("allowed"))
+
+
 def _messages(spark, d):
     return answers.messages(table(spark, d, "answer_results"))
 
@@ -127,7 +169,7 @@ def language_by_conversation(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunk_documents, chunk_counts_by_lang, chunk_small_windows, doc_uuid5, reconstruct_text, page_overlap_join, heading_asof, word_counts, usable_text, low_quality_text, ngram_diversity,
+    chunk_documents, chunk_counts_by_lang, chunk_small_windows, doc_uuid5, reconstruct_text, page_overlap_join, heading_asof, word_counts, usable_text, low_quality_text, cleaned_text, artifact_lines, better_text, missing_evidence, answer_modes, fallback_gate, ngram_diversity,
     repeated_lines, detect_language, infer_subject, scope_terms, procedure_intent, scope_gate, trim_history, latest_user_message, followup_query, token_usage, language_by_conversation,
 )}
 
@@ -164,6 +206,36 @@ MESSAGES = "r AS (SELECT DISTINCT answer_id, conversation_id, created_at AS ts,
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 LINES = r"list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: {0})"
 
+PROCEDURE_SQL = u.PROCEDURE.replace(r"\w", r"[\p{L}\p{N}_]")
+INFO = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
+
+
+def _artifact_sql(x: str) -> str:
+    folded = f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'), ' *_`#>|-')"
+    plain = f"trim(regexp_replace(regexp_replace({x}, '{quality.TABLE_MARKS}', ' ', 'g'), '\\s+', ' ', 'g'))"
+    starts = " OR ".join(f"starts_with({folded}, '{p}')" for p in quality.NOTICE_STARTS)
+    return f"""(trim(regexp_replace({x}, '\\s+', ' ', 'g')) <> '' AND (regexp_matches({folded}, '{quality.NOTICE_SITE}') OR {starts} OR regexp_matches({x}, '{quality.RULE}') AND regexp_matches({x}, '[|_-]')
+        OR regexp_matches(lower({plain}), '^page ?[0-9]{{1,5}}( [0-9]{{1,5}})*$') OR regexp_matches({plain}, '^[0-9 ]+$') AND len(regexp_extract_all({plain}, '[0-9]{{1,5}}')) >= 4))"""
+
+
+def _clean_sql(source: str, name: str) -> str:
+    """name_clean(k, text, cleaned) of source(k, text): lines as rows, repeated ones by counting."""
+    return rf"""{name}_src AS ({source}), {name}_ln AS (SELECT k, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {name}_src WHERE text IS NOT NULL),
+{name}_kept AS (SELECT k, n, trim(regexp_replace(regexp_replace(raw, '{quality.PAGE_TOKEN}', '\1 ', 'g'), '\s+', ' ', 'g')) AS line FROM {name}_ln WHERE NOT {_artifact_sql("raw")}),
+{name}_key AS (SELECT *, lower(line) AS key, {INFO.format("line")} AS toks, count(*) OVER (PARTITION BY k, lower(line)) AS c FROM {name}_kept WHERE line <> ''),
+{name}_rep AS (SELECT *, c >= 4 AND len(toks) BETWEEN 1 AND 12 AND length(key) <= 140 AND NOT regexp_matches(key, '[.!?…][\s*_`]*$') AS rep FROM {name}_key),
+{name}_gate AS (SELECT k, coalesce(sum(len(toks)) FILTER (WHERE rep), 0) >= 0.75 * sum(len(toks)) AND coalesce(bool_or(rep), false) AND coalesce(len(list_distinct(flatten(list(toks) FILTER (WHERE rep)))), 0) <= 24 AS cut FROM {name}_rep GROUP BY k),
+{name}_out AS (SELECT k, string_agg(line, chr(10) ORDER BY n) AS cleaned FROM {name}_rep JOIN {name}_gate USING (k) WHERE NOT (cut AND rep) GROUP BY k),
+{name}_clean AS (SELECT s.k, s.text, coalesce(o.cleaned, '') AS cleaned FROM {name}_src s LEFT JOIN {name}_out o ON s.k = o.k)"""
+
+
+def _low_sql(source: str, name: str) -> str:
+    """name_low(k, n, low) of source(k, raw, cleaned)."""
+    return rf"""{name}_a AS (SELECT k, {TOK.format('raw')} AS r, {TOK.format('cleaned')} AS c, len(regexp_extract_all(lower(cleaned), '\p{{L}}{{2,}}')) AS w FROM ({source}) t),
+{name}_b AS (SELECT *, len(c) - 5 AS runs, list_transform(range(1, len(c) - 4), lambda i: array_to_string(c[i:i + 5], ' ')) AS g FROM {name}_a),
+{name}_low AS (SELECT k, len(c) AS n, coalesce(w < 50 OR (len(r) >= 100 AND len(c) / len(r) < 0.35) OR (len(c) >= 100 AND len(list_distinct(c)) / len(c) < 0.035 AND len(list_distinct(g)) / runs < 0.08), true) AS low FROM {name}_b)"""
+
+
 SQL = {
     "chunk_documents": f"WITH {_chunks_sql(800, 680)} SELECT doc_id, chunk_index, char_start, char_end, md5(chunk) AS chunk_md5 FROM c",
     "chunk_counts_by_lang": f"WITH {_chunks_sql(800, 680)} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY lang",
@@ -176,16 +248,25 @@ SQL = {
         SELECT w.file_id, w.chunk_index, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS page_count FROM w JOIN e ON w.file_id = e.file_id AND e.a < w.chunk_index * 680 + 800 AND e.z > w.chunk_index * 680 GROUP BY ALL""",
     "heading_asof": rf"""WITH {_chunks_sql(800, 680)}, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
         lf AS (SELECT doc_id, k, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM ln WHERE trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''),
-        lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lf),
-        h AS (SELECT doc_id, o, regexp_replace(line, '^#{{1,6}}\s+', '') AS title FROM lo WHERE regexp_matches(line, '^#{{1,6}}\s+\S'))
-        SELECT c.doc_id, c.chunk_index, arg_max(h.title, h.o) AS heading FROM c LEFT JOIN h ON h.doc_id = c.doc_id AND h.o < c.char_end GROUP BY ALL""",
+        lo AS (SELECT *, regexp_replace(line, '^#{{1,6}}\s+', '') AS title, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM lf),
+        h AS (SELECT doc_id, o, title, CASE WHEN regexp_matches(lower(title), '{chunking.CHAPTER}') THEN 'chapter' WHEN regexp_matches(lower(title), '{chunking.SECTION}') THEN 'section' END AS kind FROM lo WHERE length(title) <= 160)
+        SELECT c.doc_id, c.chunk_index, arg_max(h.title, h.o) FILTER (WHERE h.kind = 'chapter') AS chapter, arg_max(h.title, h.o) FILTER (WHERE h.kind = 'section') AS section FROM c LEFT JOIN h ON h.doc_id = c.doc_id AND h.o < c.char_end AND h.kind IS NOT NULL GROUP BY ALL""",
     "word_counts": rf"SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '\p{{L}}{{2,}}')), -1) AS words, coalesce(len({TOK.format('text')}), -1) AS tokens, coalesce(len(list_distinct({TOK.format('text')})), -1) AS different FROM documents",
     "usable_text": rf"""WITH a AS (SELECT doc_id, text, {W.format('text')} AS w, {LINES.format('length(x) >= 12')} AS l FROM documents)
         SELECT doc_id, coalesce(len(w) >= 4 AND coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) >= 20 AND len(regexp_extract_all(lower(text), '{quality.BOILERPLATE}')) < 3 AND (len(w) < 30 OR len(list_distinct(w)) / len(w) >= 0.12)
         AND (len(l) < 4 OR len(list_distinct(l)) / len(l) >= 0.35), false) AS usable FROM a""",
-    "low_quality_text": rf"""WITH a AS (SELECT doc_id, {TOK.format('text')} AS r, {TOK.format("regexp_replace(text, '[|#]', ' ', 'g')")} AS c, len(regexp_extract_all(lower(regexp_replace(text, '[|#]', ' ', 'g')), '\p{{L}}{{2,}}')) AS w FROM documents),
-        b AS (SELECT *, len(c) - 5 AS n, list_transform(range(1, len(c) - 4), lambda i: array_to_string(c[i:i + 5], ' ')) AS g FROM a)
-        SELECT doc_id, coalesce(w < 50 OR (len(r) >= 100 AND len(c) / len(r) < 0.35) OR (len(c) >= 100 AND len(list_distinct(c)) / len(c) < 0.035 AND len(list_distinct(g)) / n < 0.08), true) AS low_quality FROM b""",
+    "low_quality_text": rf"""WITH {_clean_sql("SELECT doc_id AS k, text FROM documents", "d")}, {_low_sql("SELECT k, text AS raw, cleaned FROM d_clean", "d")} SELECT k AS doc_id, low AS low_quality FROM d_low""",
+    "cleaned_text": rf"""WITH {_clean_sql("SELECT doc_id AS k, text FROM documents", "d")} SELECT k AS doc_id, md5(cleaned) AS cleaned_md5, length(cleaned) AS chars FROM d_clean""",
+    "artifact_lines": rf"""WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT page_id, text FROM ocr_pages WHERE text IS NOT NULL) t) SELECT page_id, count(*) AS artifacts FROM l WHERE {_artifact_sql("line")} GROUP BY page_id""",
+    "better_text": rf"""WITH p AS (SELECT DISTINCT file_id, page_no, text FROM ocr_pages WHERE text IS NOT NULL), s AS (SELECT file_id, string_agg(text, chr(10) ORDER BY page_no, text) AS ocr FROM p GROUP BY file_id),
+        b AS (SELECT doc_id AS k, coalesce(text, '') AS base, coalesce(ocr, '') AS ocr FROM documents LEFT JOIN s USING (file_id)), {_clean_sql("SELECT k, base AS text FROM b", "d")}, {_clean_sql("SELECT k, ocr AS text FROM b", "o")},
+        {_low_sql("SELECT k, text AS raw, cleaned FROM d_clean", "d")}, {_low_sql("SELECT k, text AS raw, cleaned FROM o_clean", "o")}
+        SELECT d_low.k AS doc_id, NOT o_low.low AND (d_low.low OR o_low.n >= greatest(d_low.n + 25, d_low.n * 1.2::DOUBLE)) AS better FROM d_low JOIN o_low USING (k)""",
+    "missing_evidence": f"SELECT answer_id, coalesce(regexp_matches(lower(trim(regexp_replace(coalesce(answer, ''), '\\s+', ' ', 'g'))), '{u.MISSING_EVIDENCE}'), false) AS missing FROM (SELECT DISTINCT answer_id, answer FROM answer_results) t",
+    "answer_modes": f"""WITH a AS (SELECT DISTINCT answer_id, trim(CASE answer_id % 3 WHEN 0 THEN '{u.GENERAL_MARK} ' WHEN 1 THEN '{u.GROUNDED_MARK}' ELSE '' END || coalesce(answer, '')) AS t, primary_file_id IS NULL AS bare FROM answer_results)
+        SELECT answer_id, md5(CASE WHEN starts_with(t, '{u.GENERAL_MARK}') THEN ltrim(substring(t, {len(u.GENERAL_MARK) + 1})) WHEN starts_with(t, '{u.GROUNDED_MARK}') THEN ltrim(substring(t, {len(u.GROUNDED_MARK) + 1})) ELSE t END) AS answer_md5,
+        CASE WHEN starts_with(t, '{u.GENERAL_MARK}') THEN true WHEN starts_with(t, '{u.GROUNDED_MARK}') THEN false ELSE bare END AS general FROM a""",
+    "fallback_gate": f"SELECT id, coalesce(trim(expected), '') = '' AND NOT coalesce(regexp_matches(lower(q), '{PROCEDURE_SQL}'), false) AND lab IS NULL AS allowed FROM eval_slim",
     "ngram_diversity": rf"""WITH a AS (SELECT doc_id, {TOK.format('text')} AS c FROM documents), b AS (SELECT doc_id, len(c) - 5 AS n, list_transform(range(1, len(c) - 4), lambda i: array_to_string(c[i:i + 5], ' ')) AS g FROM a)
         SELECT doc_id, CASE WHEN n > 0 THEN len(list_distinct(g)) END AS different_runs, CASE WHEN n > 0 THEN n END AS all_runs FROM b""",
     "repeated_lines": rf"""WITH a AS (SELECT doc_id, {LINES.format("length(x) > 0 AND length(x) <= 140 AND NOT regexp_matches(x, '[.!?…]$')")} AS l FROM documents), b AS (SELECT doc_id, unnest(l) AS x FROM a), c AS (SELECT doc_id, x FROM b GROUP BY ALL HAVING count(*) >= 4)
@@ -195,7 +276,7 @@ SQL = {
         SELECT id, CASE WHEN m > 0 AND (chemistry = m)::INT + (physics = m)::INT + (biology = m)::INT = 1 THEN CASE WHEN chemistry = m THEN 'chemistry' WHEN physics = m THEN 'physics' ELSE 'biology' END END AS inferred FROM c""",
     "scope_terms": rf"""WITH a AS (SELECT id, list_filter(regexp_extract_all(replace(lower(q), 'ё', 'е'), '\p{{L}}+'), lambda x: length(x) >= 4 AND NOT regexp_matches(x, {_stems(u.GENERIC_STEMS)})) AS w FROM eval_slim)
         SELECT id, array_to_string(list_sort(list_distinct(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[а-яәғқңөұүһі]') THEN substring(x, 1, 3) ELSE substring(x, 1, 4) END))), ' ') AS terms FROM a""",
-    "procedure_intent": f"SELECT id, coalesce(regexp_matches(lower(q), '{u.PROCEDURE}'), false) AS is_procedure FROM eval_slim",
+    "procedure_intent": f"SELECT id, coalesce(regexp_matches(lower(q), '{PROCEDURE_SQL}'), false) AS is_procedure FROM eval_slim",
     "trim_history": f"""WITH {MESSAGES}, b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC NULLS LAST, answer_id DESC, half DESC) AS back FROM m QUALIFY back <= 6),
         c AS (SELECT *, sum(length(coalesce(text, ''))) OVER (PARTITION BY conversation_id ORDER BY back ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM b) SELECT conversation_id, answer_id, role, back, used FROM c WHERE back = 1 OR used <= 600""",
     "latest_user_message": f"WITH {MESSAGES} SELECT conversation_id, first(text ORDER BY ts DESC NULLS LAST, answer_id DESC) AS question FROM m WHERE role = 'user' AND text <> '' GROUP BY conversation_id",

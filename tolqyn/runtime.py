@@ -7,20 +7,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (local tests) a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a session on this machine alone (tests, the bench) gets one of
+    its own; on a cluster it must be set, as a folder of one machine would be lost with it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and (at := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = at.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-tolqyn-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_STAGED: dict[str, list[str]] = {}  # by application, what was written
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed by `release`."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what this application has staged; results that still read from it must be written before. Returns the number of tables."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there and a lost
     executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tolqyn.runtime import new_path
+
 
 def windowed_counts(stream: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events per window and type; windows close once the watermark passes."""
@@ -56,11 +58,19 @@ def expiring_state(stream: DataFrame, ttl_ms: int = 7_200_000, late: str = "1 ho
     return stream.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "user_id long, puts int, expired boolean", "n int", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Process what is there, into a table in memory (for tests and small reports)."""
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Process what is there, into a table in the shared folder; each micro-batch writes a folder of its own, so a repeated batch replaces
+    itself. In complete mode the result is the last batch, else all of them."""
+    spark = df.sparkSession
+    path = new_path(spark, f"stream-{name}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    done = query.lastProgress
+    rows = spark.read.schema(df.schema.add("batch", "long")).parquet(path) if done else spark.createDataFrame([], df.schema.add("batch", "long"))
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).head()[0])
+    return rows.drop("batch")
