@@ -16,7 +16,7 @@ def spark():
     yield session
 
 
-DATA = os.environ.get("TOLQYN_TEST_DATA", "/root/testdata/sf0.001")
+DATA = os.environ.get("TOLQYN_TEST_DATA", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")

@@ -72,12 +72,84 @@ def test_filters(spark):
     assert df.where(store.with_lang(store.meta_filter(subject="physics"), "kk")).count() == 1
 
 
+STORE = "collection string, doc_id string, point_id string, generation string, active_generation string, status string, chunk_index int, chunk_count int"
+
+
 def test_replacing_a_generation(spark):
-    cols = "doc_id string, point_id string, generation string, active_generation string, status string"
-    old = spark.createDataFrame([("d", "p1", "g1", "g1", "active"), ("e", "p2", "g1", "g1", "active")], cols)
-    new = spark.createDataFrame([("d", "p3", "g2", None, "staging")], cols)
+    old = spark.createDataFrame([("c", "d", "p1", "g9", "g9", "active", 0, 1), ("c", "e", "p2", "g9", "g9", "active", 0, 1), ("k", "d", "p4", "g9", "g9", "active", 0, 1)], STORE)
+    new = spark.createDataFrame([("c", "d", "p3", "g10", None, "staging", 0, 1), ("c", "e", "p5", "g10", None, "staging", 0, 2)], STORE)
     got = {r.point_id: (r.status, r.active_generation) for r in store.replace_generation(old, new).collect()}
-    assert got == {"p1": ("superseded", "g2"), "p2": ("active", "g1"), "p3": ("active", "g2")}
+    assert got == {"p1": ("superseded", "g10"), "p3": ("active", "g10"), "p2": ("active", "g9"), "p5": ("staging", None), "p4": ("active", "g9")}
+
+
+def test_the_newest_complete_generation(spark):
+    rows = [("c", "d", "x", g, None, None, i, 2) for g, pieces in (("g9", 2), ("g10", 2), ("g11", 1)) for i in range(pieces)]
+    assert [tuple(r) for r in store.newest_complete(spark.createDataFrame(rows, STORE)).collect()] == [("c", "d", "g10")]
+
+
+def test_an_upload_leaves_other_documents_alone(spark, tmp_path):
+    path = str(tmp_path / "store")
+    files.upload(spark.createDataFrame([("c", f"d{i}", f"p{i}", "g1", None, "staging", 0, 1) for i in range(9)], STORE), path)
+    files.upload(spark.createDataFrame([("c", "d3", "q3", "g2", None, "staging", 0, 1)], STORE), path)
+    files.upload(spark.createDataFrame([("c", "d3", "q3", "g2", None, "staging", 0, 1)], STORE), path)  # once more
+    got = spark.read.parquet(path)
+    assert got.count() == 10 and sorted(r.point_id for r in store.visible(got).collect()) == ["p0", "p1", "p2", "p4", "p5", "p6", "p7", "p8", "q3"]
+    files.ensure_store(spark, path, STORE)
+    assert spark.read.parquet(path).count() == 10
+
+
+def test_cleaning_of_extracted_text(spark):
+    notice = "Книга предоставлена исключительно в образовательных целях\n"
+    assert one(spark, quality.clean_extraction(F.col("t")), t=notice + "page64\n| page65 | | 65 |\n1 2 3 4 5\n|---|---|\nПроза page 7 остаётся здесь.\n12\n") == "Проза остаётся здесь.\n12"
+    prose = "Определение силы повторяется в каждом параграфе."
+    assert one(spark, quality.clean_extraction(F.col("t")), t=(prose + "\n") * 8) == "\n".join([prose] * 8)
+    assert one(spark, quality.clean_extraction(F.col("t")), t="Школьный архив\n" * 40 + "Вода кипит при ста градусах.") == "Вода кипит при ста градусах."
+    assert one(spark, quality.clean_extraction(F.col("t")), t=None) == ""
+    book = lambda *x: one(spark, quality.better_book_text(*[F.lit(v) for v in x]), t="")
+    assert book("слово " * 600, "длиннее " * 900, None).startswith("слово") and book("слово", "длиннее " * 90, None).startswith("длиннее") and book("слово", None, "скан " * 60).startswith("скан") and book("слово", "два", None) == ""
+
+
+def test_headings_of_pieces(spark):
+    text = "Глава 1. Механика\n" + "текст " * 10 + "\n# Раздел 2\n" + "слово " * 10 + "\nГлавам\n## Просто заголовок\n§ 3 Сила\nконец"
+    got = chunking.with_headings(spark.createDataFrame([(1, text)], "id int, text string"), size=60, overlap=0).orderBy("chunk_index").collect()
+    assert (got[0].chapter, got[0].section) == ("Глава 1. Механика", None)
+    assert (got[-1].chapter, got[-1].section) == ("Глава 1. Механика", "§ 3 Сила")
+
+
+def test_answers_without_evidence(spark):
+    f = lambda t: one(spark, u.is_missing_evidence(F.col("t")), t=t)
+    assert f("В предоставленных материалах нет  информации об этом.") and f("The materials do not contain an answer.") and f("Құжаттарда бұл туралы ақпарат жоқ.")
+    assert not f("Вода кипит.") and not f(None) and not f("")
+    text, general = u.answer_mode(F.col("t"), F.lit(True), F.lit(False))
+    assert one(spark, F.struct(text, general), t="[[GENERAL_KNOWLEDGE]] Вода.")[:] == ("Вода.", True) and one(spark, F.struct(text, general), t="[[GROUNDED]]x")[:] == ("x", False)
+    gate = lambda q, c, a: one(spark, u.general_fallback(F.col("q"), [F.col("c")], F.lit(True), F.lit(a)), q=q, c=c)
+    assert gate("Что такое сила?", " ", False) and not gate("Что делать дальше?", None, False) and not gate("Что такое сила?", "текст", False) and not gate("Что такое сила?", None, True)
+
+
+def test_upload_names_and_keys(spark):
+    name = lambda t: one(spark, metadata.upload_basename(F.col("t")), t=t)
+    assert (name("C:\\x\\a.pdf"), name("a/b.txt/"), name(" ./"), name(".."), name("a\tb.txt"), name("Учебныи\u0306.pdf")) == ("a.pdf", "b.txt", None, None, "a_b.txt", "Учебный.pdf")
+    key = metadata.upload_identity(F.col("n"), F.lit("Lab_instruction"), F.lit("physics"), F.lit(8), F.lit("ru"), F.lit(2))
+    assert one(spark, key, n="x.pdf")[:] == ("admin_uploads/lab_instruction/physics/8/ru/02/x.pdf", "admin_uploads/lab_instruction/physics-8-ru-02", "physics-8-ru-02")
+    assert one(spark, metadata.upload_identity(F.col("n"), F.lit("textbook"), F.lit("physics"), F.lit(12), F.lit("ru"), F.lit(None).cast("int")), n="x.pdf") is None
+    assert one(spark, metadata.general_upload_key(F.col("p"), F.col("n")), p="a/x.pdf", n="x.pdf") == "admin_uploads/general/a/x.pdf"
+    assert one(spark, metadata.general_upload_key(F.col("p"), F.col("n")), p="x.pdf", n="x.pdf") is None
+    assert one(spark, u.language_code(F.col("t")), t=" RU ") == "ru" and one(spark, u.language_code(F.col("t")), t="de") is None
+
+
+def test_sparse_topk_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(f"p{i:03d}", [int(x) for x in rng.choice(30, 6, replace=False)] + [99], [float(x) for x in rng.random(7).round(2)]) for i in range(120)]
+    pts = spark.createDataFrame([*rows, rows[3], ("none", None, None), ("empty", [], [])], "point_id string, sparse_indices array<int>, sparse_values array<float>")
+    q = pts.where("point_id in ('p001', 'p003', 'none')").withColumnRenamed("point_id", "query_id").distinct()
+    got = {(r.query_id, r.rank): r.point_id for r in retrieval.sparse_topk(pts, q, 5).collect()}
+    weight = [dict(zip(i, np.array(w, "f4").astype("f8"))) for _, i, w in rows]
+    for a in (1, 3):
+        s = [round(sum(w * weight[a].get(t, 0) for t, w in x.items()), 6) for x in weight]
+        assert [got[f"p{a:03d}", k + 1] for k in range(5)] == [f"p{j:03d}" for j in sorted(range(120), key=lambda j: (-s[j], j))[:5]]
+    assert len(got) == 10
 
 
 def test_dense_topk_against_brute_force(spark):
@@ -192,9 +264,9 @@ def test_numbers_in_text(spark):
 
 
 def test_path_metadata(spark):
-    got = one(spark, metadata.parsed(F.col("p")), p="corpus/Laboratory works/Физика 10 класс/рус/Лабораторная работа №2.docx")
-    assert got.asDict() == {"source": "corpus/Laboratory works/Физика 10 класс/рус/Лабораторная работа №2.docx", "filename": "Лабораторная работа №2.docx", "doc_type": "lab_instruction", "subject": "physics", "grade": 10, "lang": "ru", "lab_number": 2, "lab_id": "physics-10-ru-02"}
-    assert one(spark, metadata.parsed(F.col("p")), p="Textbooks/Химия/Химия 8 каз.pdf").lang == "kk"
+    got = one(spark, metadata.parsed(F.col("p")), p="corpus/Лабораторные работы/Физика 10 класс/рус/Лабораторная работа №2.docx")
+    assert got.asDict() == {"source": "corpus/Лабораторные работы/Физика 10 класс/рус/Лабораторная работа №2.docx", "filename": "Лабораторная работа №2.docx", "doc_type": "lab_instruction", "subject": "physics", "grade": 10, "lang": "ru", "lab_number": 2, "lab_id": "physics-10-ru-02"}
+    assert one(spark, metadata.parsed(F.col("p")), p="Школьный материал/Химия/каз/Химия 8.pdf").lang == "kk" and one(spark, metadata.parsed(F.col("p")), p="Школьный материал/Химия/Химия_8_каз_.pdf").lang == "kk"
     assert one(spark, metadata.parsed(F.col("p")), p="other/x.pdf") is None
     assert one(spark, metadata.safe_path(F.col("p"), F.col("n")), p="a/../b.pdf", n="b.pdf") is False
 

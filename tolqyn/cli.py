@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = get_session("cli")
     if a.command == "ingest":
-        files.write_store(pipeline.ingest(corpus(spark, a.root, a.only), a.collection, a.generation).withColumn("status", F.lit("active")).withColumn("active_generation", F.lit(a.generation)), a.store)
+        files.upload(pipeline.ingest(corpus(spark, a.root, a.only), a.collection, a.generation), a.store)
         return 0
     if a.command == "gen-manifest":
         files.write_manifest(manifest(corpus(spark, a.root, a.only)), a.out)
@@ -57,7 +57,7 @@ def main(argv: list[str] | None = None) -> int:
         gone = points.where(F.col("doc_id") == a.doc_id)
         if not gone.head(1):
             return 1
-        files.write_store(store.delete_documents(points, gone), a.out)
+        files.write_store(store.delete_documents(points, gone).drop("bucket"), a.out)
         return 0
     seen = store.visible(points)
     report = store.collection_status(seen) if a.command == "status" else store.list_documents(seen.withColumn("lab_id", F.lit(None).cast("string"))).orderBy("collection", "doc_id")

@@ -4,14 +4,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Folder and file names of the corpus.
-LAB_ROOTS = ("laboratory works", "lab instructions", "лабораторные работы")
-BOOK_ROOTS = ("school materials", "textbooks", "школьные материалы")
+LAB_ROOTS = ("лабораторные работы", "laboratory works", "lab instructions")
+BOOK_ROOTS = ("школьный материал", "school materials", "textbooks")
 SUBJECTS = {"физика": "physics", "химия": "chemistry", "биология": "biology", "physics": "physics", "chemistry": "chemistry", "biology": "biology"}
-LANGS = {"рус": "ru", "русс": "ru", "ру": "ru", "каз": "kk", "қаз": "kk", "en": "en", "eng": "en", "english": "en", "ru": "ru", "kk": "kk"}
+LANGS = {"рус": "ru", "русс": "ru", "ру": "ru", "каз": "kk", "қаз": "kk", "en": "en", "eng": "en", "english": "en"}
 
 
 def _parts(path: Column) -> Column:
-    return F.transform(F.split(F.lower(path), "/"), lambda x: F.trim(x))
+    return F.transform(F.split(F.lower(composed(path)), "/"), lambda x: F.trim(x))
+
+
+# Letters that file systems keep in two parts, and blanks and signs that stand for plain ones.
+TWO_PARTS = {"и\u0306": "й", "И\u0306": "Й", "е\u0308": "ё", "Е\u0308": "Ё", "\u00a0": " ", "\u2116": "№"}
+
+
+def composed(text: Column) -> Column:
+    """The letters of the corpus in one part each, special blanks as plain ones."""
+    for two, one in TWO_PARTS.items():
+        text = F.replace(text, F.lit(two), F.lit(one))
+    return text
 
 
 def subject_of(token: Column) -> Column:
@@ -23,7 +34,7 @@ def subject_of(token: Column) -> Column:
 
 def lang_of(token: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in LANGS.items() for x in kv])
-    words = F.filter(F.transform(F.split(token, r"[\s_.]+"), lambda w: names[w]), lambda x: x.isNotNull())
+    words = F.filter(F.transform(F.split(token, r"[\s_]+"), lambda w: names[w]), lambda x: x.isNotNull())
     return F.coalesce(names[token], F.get(words, 0))
 
 
@@ -91,3 +102,42 @@ def upload_errors(doc_type: Column, subject: Column, grade: Column, lang: Column
 def safe_path(path: Column, name: Column) -> Column:
     """A relative path without upward steps whose last part is the file's name."""
     return F.coalesce(~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)") & (F.element_at(F.split(path, "/"), -1) == name), F.lit(False))
+
+
+UPLOADS = "admin_uploads"
+
+
+def upload_basename(filename: Column) -> Column:
+    """The last part of an upload's name, control characters as underscores; null if nothing is left that names a file."""
+    plain = F.regexp_replace(F.replace(composed(filename), F.lit("\\"), F.lit("/")), r"(/\.?)+$", "")
+    name = F.regexp_replace(F.trim(F.element_at(F.split(plain, "/"), -1)), r"[\x00-\x1f\x7f]", "_")
+    return F.when(~name.isin("", ".", ".."), name)
+
+
+def upload_identity(filename: Column, doc_type: Column, subject: Column, grade: Column, lang: Column, lab_number: Column) -> Column:
+    """struct<source, doc_key, lab_id> of an upload whose form is filled in without error, else null. A lab instruction is known by its lab, so a
+    file of another name takes its place."""
+    kind, subject_, lang_ = (F.lower(F.trim(c)) for c in (doc_type, subject, lang))
+    name = upload_basename(filename)
+    number = F.lpad(lab_number.cast("string"), 2, "0")
+    lab = F.when(kind == "lab_instruction", lab_id(subject_, grade, lang_, lab_number))
+    source = F.concat_ws("/", F.lit(UPLOADS), kind, subject_, grade.cast("string"), lang_, F.when(kind == "lab_instruction", number), name)
+    fit = doc_type.isNotNull() & name.isNotNull() & (F.size(upload_errors(doc_type, subject, grade, lang, lab_number)) == 0)
+    key = F.when(kind == "lab_instruction", F.concat(F.lit(f"{UPLOADS}/lab_instruction/"), lab)).otherwise(source)
+    return F.when(fit, F.struct(source.alias("source"), key.alias("doc_key"), lab.alias("lab_id")))
+
+
+def general_upload_key(path: Column, name: Column) -> Column:
+    """Key of an upload without a form: its safe path below the uploads; null for a bare name and for a path that is not safe."""
+    return F.when(safe_path(path, name) & (path != name), F.concat(F.lit(f"{UPLOADS}/general/"), path))
+
+
+def question_errors(question: Column, most: int = 4000) -> Column:
+    """What is wrong with a question, as a list."""
+    blank = F.trim(F.coalesce(question, F.lit(""))) == ""
+    return F.array_compact(F.array(F.when(blank, F.lit("question is blank")), F.when(~blank & (F.length(question) > most), F.lit("question is too long"))))
+
+
+def content_chars(values: Column) -> Column:
+    """Characters of all values of a map; 0 for none."""
+    return F.coalesce(F.aggregate(F.map_values(values), F.lit(0).cast("bigint"), lambda n, x: n + F.coalesce(F.length(x), F.lit(0))), F.lit(0).cast("bigint"))

@@ -5,20 +5,29 @@ from pyspark.sql import functions as F
 
 
 def citations(ranked: DataFrame, points: DataFrame, query: str = "query_id") -> DataFrame:
-    """One row per query and source document: pieces and pages as sorted sets, in order of first appearance.
+    """One row per query and source document: pieces and pages as sorted sets, chapters and sections in the order of the hits, in
+    order of first appearance. points may have chapter and section.
 
     ranked: (query, point_id, rank), cut at a top-k, so groups are small."""
+    points = points.withColumns({c: F.lit(None).cast("string") for c in ("chapter", "section") if c not in points.columns})
     rows = ranked.select(query, "point_id", "rank").join(
-        points.select("point_id", "doc_id", F.coalesce("source_path", "source").alias("source_path"), "filename", "doc_type", "lab_number", "chunk_index", "page_start", "page_end", "pages").distinct(), "point_id"
+        points.select("chapter", "section", "point_id", "doc_id", F.coalesce("source_path", "source").alias("source_path"), "filename", "doc_type", "lab_number", "chunk_index", "page_start", "page_end", "pages").distinct(), "point_id"
     )
     name = F.coalesce("filename", F.regexp_extract("source_path", r"[^/\\]+$", 0))
     rows = rows.withColumn("filename", name).where((F.col("filename") != "") & F.col("doc_id").isNotNull())
     every = F.flatten(F.collect_list(F.concat(F.coalesce("pages", F.array().cast("array<int>")), F.array("page_start", "page_end"))))
-    got = rows.groupBy(query, "doc_id", "filename").agg(
-        F.min("rank").alias("first_rank"), F.min_by("doc_type", "rank").alias("source_type"), F.min_by("lab_number", "rank").alias("lab_number"),
+
+    def titles(c: str) -> Column:
+        found = F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("rank", F.col(c).alias("t")))))
+        return F.array_distinct(F.transform(found, lambda x: x["t"])).alias(f"{c}s")
+
+    got = rows.groupBy(query, "doc_id", F.coalesce("source_path", "filename").alias("source")).agg(
+        F.min_by("filename", "rank").alias("filename"), titles("chapter"), titles("section"), F.min("rank").alias("first_rank"), F.min_by("doc_type", "rank").alias("source_type"), F.min_by("lab_number", "rank").alias("lab_number"),
         F.array_sort(F.collect_set("chunk_index")).alias("chunk_indexes"), F.array_sort(F.array_distinct(F.array_compact(every))).alias("pages"),
     )
     w = Window.partitionBy(query).orderBy("first_rank")
+    for c in ("chapter", "section"):  # a single one stands by itself too
+        got = got.withColumn(c, F.when(F.size(f"{c}s") == 1, F.get(f"{c}s", 0)))
     return got.withColumn("number", F.row_number().over(w)).withColumn("page_from", F.array_min("pages")).withColumn("page_to", F.array_max("pages"))
 
 

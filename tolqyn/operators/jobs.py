@@ -81,3 +81,16 @@ def nested(jobs: DataFrame, items: DataFrame) -> DataFrame:
 def online(beats: DataFrame, key: str, at: str, now: Column, offline_after: int = 15) -> DataFrame:
     last = beats.groupBy(key).agg(F.max(at).alias("last_seen"))
     return last.withColumn("online", F.unix_timestamp("last_seen") >= F.unix_timestamp(now) - offline_after)
+
+
+def delete_jobs(jobs: DataFrame, items: DataFrame, which: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, items) that stay when the jobs that `which` holds for go, and their items with them."""
+    kept = jobs.where(~F.coalesce(F.expr(which), F.lit(False)))
+    return kept, items.join(kept.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+
+
+def zipped(items: DataFrame, manifest: DataFrame, order: str) -> DataFrame:
+    """(job_id, n, relative_path, other_path): the n-th item of a job beside the n-th row of its manifest."""
+    a = items.select("job_id", "relative_path", F.row_number().over(Window.partitionBy("job_id").orderBy("position", "id")).alias("n"))
+    b = manifest.select("job_id", F.col("relative_path").alias("other_path"), F.row_number().over(Window.partitionBy("job_id").orderBy(order)).alias("n"))
+    return a.join(b, ["job_id", "n"])

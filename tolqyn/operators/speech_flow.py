@@ -1,6 +1,6 @@
 """Cutting streams of answer text into sentences for speech, and keys under which answers are kept."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,11 @@ def preview(text: Column, most: int) -> Column:
     """One line of at most `most` characters, cut with an ellipsis."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+
+
+def deltas(rows: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(key, seq, kind, text): pieces of a text in order, then a row `done`; for a null text a row `error` alone."""
+    n = F.ceil(F.length(text) / most).cast("int")
+    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("seq"), F.lit("delta").alias("kind"), F.substring(F.col(text), i * most + 1, F.lit(most)).alias("text"))))
+    end = F.array(F.struct(F.coalesce(n, F.lit(0)).alias("seq"), F.when(F.col(text).isNull(), "error").otherwise("done").alias("kind"), F.lit("").alias("text")))
+    return rows.select(key, F.explode(F.concat(F.coalesce(parts, F.array().cast("array<struct<seq:int,kind:string,text:string>>")), end)).alias("d")).select(key, "d.*")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tolqyn.operators import speech_flow, store, understanding as u
 from tolqyn.plans import pipeline
-from tolqyn.runtime import table
+from tolqyn.runtime import staged, table
 from tolqyn.streaming import flows
 
 
@@ -26,6 +26,13 @@ def answer_previews(spark, d):
     return a.select("answer_id", speech_flow.preview(F.col("answer"), 60).alias("preview"))
 
 
+def answer_deltas(spark, d):
+    """Answers as a client gets them: pieces of at most 80 characters in order, then the end; an error where there is no answer."""
+    a = table(spark, d, "answer_results").select("answer_id", "answer").distinct()
+    got = speech_flow.deltas(a, "answer_id", "answer", 80)
+    return got.groupBy("answer_id", "kind").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"), F.max("seq").alias("last_seq"))
+
+
 def job_options(spark, d):
     """Jobs by the options they were given; trusted keys are no options."""
     o = F.map_filter(F.from_json("options_json", "map<string,string>"), lambda k, v: ~k.isin("root", "stored_path", "worker_id") & v.isNotNull())
@@ -86,7 +93,8 @@ def ingest_points(spark, d):
 def question_context(spark, d):
     """Every hundredth question against the points made of all documents."""
     docs = table(spark, d, "documents").select("doc_key", "doc_type", "text").dropDuplicates(["doc_key"]).withColumn("filename", F.regexp_extract("doc_key", "[^/]+$", 0))
-    points = store.replace_generation(pipeline.ingest(docs.where("false"), "fresh", "g0"), pipeline.ingest(docs, "fresh", "g1"))
+    new = staged(pipeline.ingest(docs, "fresh", "g1"), "points")
+    points = staged(store.replace_generation(new.limit(0), new), "points")  # searched three times
     asked = table(spark, d, "eval_slim").where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("q").alias("text")).distinct()
     got = pipeline.context(points, asked)
     return got.select("query_id", "language", "subject", F.length("context").alias("context_chars"))
@@ -112,13 +120,15 @@ def stream_user_state(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    sentence_chunks, answer_cache, answer_previews, job_options, item_metadata, missing_metadata, item_transitions, idle_gaps, term_overlap, theory_and_lab, ingest_points, question_context, stream_tumbling, stream_user_state,
+    sentence_chunks, answer_deltas, answer_cache, answer_previews, job_options, item_metadata, missing_metadata, item_transitions, idle_gaps, term_overlap, theory_and_lab, ingest_points, question_context, stream_tumbling, stream_user_state,
 )}
 
 TERMS = r"""list_distinct(list_transform(list_filter(regexp_extract_all(replace(lower({0}), 'ё', 'е'), '\p{{L}}+'), lambda x: length(x) >= 4 AND NOT regexp_matches(x, {1})), lambda x: CASE WHEN regexp_matches(x, '[а-яәғқңөұүһі]') THEN substring(x, 1, 3) ELSE substring(x, 1, 4) END))"""
 GENERIC = "'^(" + "|".join(u.GENERIC_STEMS) + ")'"
 
 SQL = {
+    "answer_deltas": """WITH a AS (SELECT DISTINCT answer_id, answer, ceil(length(answer) / 80.0)::BIGINT AS k FROM answer_results)
+        SELECT answer_id, 'delta' AS kind, k AS rows, length(answer)::BIGINT AS chars, k - 1 AS last_seq FROM a WHERE k > 0 UNION ALL SELECT answer_id, CASE WHEN answer IS NULL THEN 'error' ELSE 'done' END, 1, 0, coalesce(k, 0) FROM a""",
     "answer_cache": r"""SELECT sha256(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) || chr(10) || coalesce(lab_id, '-')) AS key, count(*) AS asked, min(answer_id) AS first_id FROM (SELECT DISTINCT answer_id, question, lab_id FROM answer_results WHERE question IS NOT NULL) t GROUP BY key HAVING count(*) > 1""",
     "answer_previews": r"""SELECT answer_id, CASE WHEN length(f) > 60 THEN rtrim(substring(f, 1, 59)) || '…' ELSE f END AS preview FROM (SELECT DISTINCT answer_id, answer, trim(regexp_replace(answer, '\s+', ' ', 'g')) AS f FROM answer_results WHERE answer IS NOT NULL) t""",
     "job_options": "SELECT kind, options_json ->> '$.assistant_type' AS assistant_type, count(*) AS jobs FROM (SELECT DISTINCT id, kind, options_json FROM jobs) t GROUP BY ALL",

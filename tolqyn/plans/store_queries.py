@@ -110,6 +110,14 @@ def generation_activate(spark, d):
     return store.generations(_points(spark, d))
 
 
+def newest_complete(spark, d):
+    """The newest complete generation of every document, with an upload in between: g1 to g10 by document, of which every third lost a piece."""
+    p = _points(spark, d).where("generation <> ''").select("collection", "doc_id", "chunk_index", "chunk_count").distinct()
+    made = p.select("*", F.explode(F.array(F.lit(9), F.lit(10))).alias("g")).where((F.col("g") == 9) | (F.col("chunk_index") > 0) | ((F.length("doc_id") + F.ascii("doc_id")) % 3 != 0))
+    got = store.newest_complete(made.select("collection", "doc_id", F.concat(F.lit("g"), F.col("g").cast("string")).alias("generation"), F.lit("g9").alias("active_generation"), "chunk_index", "chunk_count"))
+    return got.groupBy("collection", "generation").agg(F.count("*").alias("documents"))
+
+
 def stale_points_anti(spark, d):
     """Points of files that no document names."""
     have = table(spark, d, "documents").select(F.col("file_id").alias("doc_id")).distinct()
@@ -151,7 +159,7 @@ def knowledge_block(spark, d):
 SQL_CITE = f"""
 pu AS (SELECT DISTINCT point_id, doc_id, coalesce(source_path, source) AS source_path, filename, doc_type, lab_number, chunk_index, page_start, page_end, pages FROM chunks WHERE {VISIBLE}),
 ci AS (SELECT fr.query_id, fr.rank, pu.*, coalesce(pu.filename, regexp_extract(pu.source_path, '[^/\\\\]+$')) AS fname FROM fr JOIN pu USING (point_id)),
-cg AS (SELECT query_id, doc_id, fname AS filename, min(rank) AS first_rank, arg_min(doc_type, rank) AS source_type, arg_min(lab_number, rank) AS lab_number,
+cg AS (SELECT query_id, doc_id, coalesce(source_path, fname) AS skey, arg_min(fname, rank) AS filename, min(rank) AS first_rank, arg_min(doc_type, rank) AS source_type, arg_min(lab_number, rank) AS lab_number,
         list_sort(list_distinct(list(chunk_index))) AS chunk_indexes,
         list_sort(list_distinct(list_filter(flatten(list(list_concat(coalesce(pages, []::INT[]), [page_start, page_end]))), lambda x: x IS NOT NULL))) AS pages
       FROM ci WHERE fname <> '' AND doc_id IS NOT NULL GROUP BY ALL),
@@ -160,7 +168,7 @@ cn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_rank) A
 
 QUERIES = {
     "dense_topk": dense_topk, "sparse_topk": sparse_topk, "hybrid_rrf": hybrid_rrf, "score_threshold": score_threshold, "tiered_retrieval": tiered_retrieval,
-    "visible_points": visible_points, "list_documents": list_documents, "collection_status": collection_status, "generation_activate": generation_activate,
+    "visible_points": visible_points, "list_documents": list_documents, "collection_status": collection_status, "generation_activate": generation_activate, "newest_complete": newest_complete,
     "stale_points_anti": stale_points_anti, "delete_document": delete_document, "duplicate_labs": duplicate_labs, "documents_by_type": documents_by_type,
     "citations_grouped": citations_grouped, "citation_labels": citation_labels, "knowledge_block": knowledge_block,
 }
@@ -178,6 +186,8 @@ SQL = {
         count(DISTINCT doc_id) FILTER (WHERE lang = 'en') AS documents_en, CASE WHEN count(DISTINCT point_id) > 0 THEN 'ready' ELSE 'empty' END AS state FROM chunks WHERE {VISIBLE} GROUP BY collection""",
     "generation_activate": """SELECT collection, doc_id, generation, count(DISTINCT chunk_index) AS pieces, max(chunk_count) AS expected, max((generation = active_generation)::INT) AS is_active, count(DISTINCT chunk_index) = max(chunk_count) AS complete
         FROM chunks WHERE generation <> '' GROUP BY collection, doc_id, generation""",
+    "newest_complete": """WITH p AS (SELECT DISTINCT collection, doc_id, chunk_index, chunk_count FROM chunks WHERE generation <> ''), m AS (SELECT * FROM (SELECT *, unnest([9, 10]) AS g FROM p) t WHERE g = 9 OR chunk_index > 0 OR (length(doc_id) + ascii(doc_id)) % 3 <> 0),
+        c AS (SELECT collection, doc_id, g FROM m GROUP BY ALL HAVING count(DISTINCT chunk_index) = max(chunk_count)), n AS (SELECT collection, doc_id, max(g) AS g FROM c GROUP BY ALL) SELECT collection, 'g' || g AS generation, count(*) AS documents FROM n GROUP BY ALL""",
     "stale_points_anti": "SELECT DISTINCT point_id FROM chunks WHERE doc_id NOT IN (SELECT file_id FROM documents WHERE file_id IS NOT NULL)",
     "delete_document": "SELECT collection, count(DISTINCT point_id) AS points, count(DISTINCT doc_id) AS documents FROM chunks WHERE doc_id NOT IN (SELECT file_id FROM documents WHERE doc_id % 100 = 0 AND file_id IS NOT NULL) GROUP BY collection",
     "duplicate_labs": f"SELECT collection, lab_id, count(DISTINCT doc_id) AS documents FROM chunks WHERE {VISIBLE} AND lab_id IS NOT NULL GROUP BY ALL HAVING count(DISTINCT doc_id) > 1",

@@ -68,8 +68,10 @@ def cleaned_text(spark, d):
 
 
 def artifact_lines(spark, d):
-    """Lines of scanned pages that are watermarks, rules or page labels."""
-    lines = table(spark, d, "ocr_pages").select("page_id", "text").distinct().select("page_id", F.explode(F.split("text", "\n")).alias("line"))
+    """Artifact lines of scanned pages as a text layer has them: below two labels of the page (the tables hold none)."""
+    page = F.col("page_no").cast("string")
+    layer = F.concat_ws("\n", F.concat(F.lit("page"), page), F.concat(F.lit("| Page "), page, F.lit(" | | "), page, F.lit(" |")), "text")
+    lines = table(spark, d, "ocr_pages").select("page_id", "page_no", "text").distinct().select("page_id", F.explode(F.split(layer, "\n")).alias("line"))
     return lines.where(quality.is_artifact(F.col("line"))).groupBy("page_id").agg(F.count("*").alias("artifacts"))
 
 
@@ -257,7 +259,8 @@ SQL = {
         AND (len(l) < 4 OR len(list_distinct(l)) / len(l) >= 0.35), false) AS usable FROM a""",
     "low_quality_text": rf"""WITH {_clean_sql("SELECT doc_id AS k, text FROM documents", "d")}, {_low_sql("SELECT k, text AS raw, cleaned FROM d_clean", "d")} SELECT k AS doc_id, low AS low_quality FROM d_low""",
     "cleaned_text": rf"""WITH {_clean_sql("SELECT doc_id AS k, text FROM documents", "d")} SELECT k AS doc_id, md5(cleaned) AS cleaned_md5, length(cleaned) AS chars FROM d_clean""",
-    "artifact_lines": rf"""WITH l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT page_id, text FROM ocr_pages WHERE text IS NOT NULL) t) SELECT page_id, count(*) AS artifacts FROM l WHERE {_artifact_sql("line")} GROUP BY page_id""",
+    "artifact_lines": rf"""WITH p AS (SELECT DISTINCT page_id, page_no, text FROM ocr_pages), l AS (SELECT page_id, unnest(string_split(concat_ws(chr(10), 'page' || page_no, '| Page ' || page_no || ' | | ' || page_no || ' |', text), chr(10))) AS line FROM p)
+        SELECT page_id, count(*) AS artifacts FROM l WHERE {_artifact_sql("line")} GROUP BY page_id""",
     "better_text": rf"""WITH p AS (SELECT DISTINCT file_id, page_no, text FROM ocr_pages WHERE text IS NOT NULL), s AS (SELECT file_id, string_agg(text, chr(10) ORDER BY page_no, text) AS ocr FROM p GROUP BY file_id),
         b AS (SELECT doc_id AS k, coalesce(text, '') AS base, coalesce(ocr, '') AS ocr FROM documents LEFT JOIN s USING (file_id)), {_clean_sql("SELECT k, base AS text FROM b", "d")}, {_clean_sql("SELECT k, ocr AS text FROM b", "o")},
         {_low_sql("SELECT k, text AS raw, cleaned FROM d_clean", "d")}, {_low_sql("SELECT k, text AS raw, cleaned FROM o_clean", "o")}

@@ -3,7 +3,8 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tolqyn.operators import evaluation, events, jobs
+from tolqyn.operators import evaluation, events, jobs, store
+from tolqyn.plans.store_queries import VISIBLE
 from tolqyn.runtime import table
 
 
@@ -77,9 +78,28 @@ def job_list_order(spark, d):
 
 
 def claim_next(spark, d):
+    """The job a worker would take: now, and once no job runs any more."""
+    j = table(spark, d, "jobs").dropDuplicates(["id"])
+    free = j.where("status <> 'running'")
+    return jobs.claim_next(j).select(F.lit("now").alias("at"), "id").unionByName(jobs.claim_next(free).select(F.lit("free").alias("at"), "id"))
+
+
+def next_per_kind(spark, d):
     return jobs.next_per_kind(table(spark, d, "jobs"))
 
 
+def delete_job_cascade(spark, d):
+    """Jobs and items that stay when failed jobs go with all they have."""
+    kept, items = jobs.delete_jobs(table(spark, d, "jobs").dropDuplicates(["id"]), _items(spark, d), "status = 'failed'")
+    return kept.groupBy("status").agg(F.count("*").alias("jobs")).join(items.join(kept.select(F.col("id").alias("job_id"), F.col("status").alias("s")), "job_id").groupBy(F.col("s").alias("status")).agg(F.count("*").alias("items")), "status", "left")
+
+
+def zip_manifest_items(spark, d):
+    """Items of a job beside the rows of its manifest, place by place: how many agree on the path."""
+    m = table(spark, d, "upload_manifest").select("manifest_id", "job_id", "relative_path").distinct()
+    return jobs.zipped(_items(spark, d), m, "manifest_id").groupBy("job_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("relative_path") == F.col("other_path")).alias("same"))
+
+
 def retry_items(spark, d):
     return jobs.retry_items(_items(spark, d))
 
@@ -104,10 +124,10 @@ def job_durations(spark, d):
 
 
 def chunk_counts_match(spark, d):
-    """Completed items whose recorded number of pieces differs from the active points of their file."""
-    c = table(spark, d, "chunks").where("generation = active_generation").select("doc_id", "point_id").distinct().groupBy("doc_id").agg(F.count("*").alias("points"))
+    """Completed items whose recorded number of pieces differs from the visible points of their file, 0 where it has none."""
+    c = store.visible(table(spark, d, "chunks")).select("doc_id", "point_id").distinct().groupBy("doc_id").agg(F.count("*").alias("points"))
     i = _items(spark, d).where("file_id is not null").select("id", "file_id", "chunks")
-    return i.join(c, i.file_id == c.doc_id).where("chunks is distinct from points").select("id", "chunks", "points")
+    return i.join(c, i.file_id == c.doc_id, "left").withColumn("points", F.coalesce("points", F.lit(0))).where("chunks is distinct from points").select("id", "chunks", "points")
 
 
 def late_records(spark, d):
@@ -124,8 +144,9 @@ def manifest_summary(spark, d):
 
 
 def duplicate_uploads(spark, d):
-    m = table(spark, d, "upload_manifest").select("manifest_id", "relative_path").distinct()
-    return m.groupBy("relative_path").agg(F.count("*").alias("times"), F.min("manifest_id").alias("first_id")).where("times > 1")
+    """File names uploaded more than once, under whatever path."""
+    m = table(spark, d, "upload_manifest").select("manifest_id", "filename").distinct()
+    return m.groupBy("filename").agg(F.count("*").alias("times"), F.min("manifest_id").alias("first_id")).where("times > 1")
 
 
 def _events(spark, d):
@@ -203,7 +224,7 @@ def lookup_sets(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_left_join_default, stat_block, eval_grouping_sets, score_histogram, heatmap_pivot, weakest_groups, strongest_groups, verdict_bands, eval_batches, queue_status, job_counters, terminal_status, status_mismatch,
-    job_list_order, claim_next, retry_items, job_items_nested, worker_online, job_durations, chunk_counts_match, late_records, manifest_summary, duplicate_uploads, events_tumbling, events_sliding, events_session,
+    job_list_order, claim_next, next_per_kind, delete_job_cascade, zip_manifest_items, retry_items, job_items_nested, worker_online, job_durations, chunk_counts_match, late_records, manifest_summary, duplicate_uploads, events_tumbling, events_sliding, events_session,
     rate_limit_window, login_sliding_limit, ttl_state, pricing_summary, revenue_by_nation, orders_without_returns, customers_with_big_orders, part_rollup, part_cube, order_rank, lookup_sets,
 )}
 
@@ -224,23 +245,28 @@ SQL = {
     "weakest_groups": f"WITH {G} {LABS} ORDER BY avg_score, subject, grade, lab LIMIT 10",
     "strongest_groups": f"WITH {G} {LABS} ORDER BY avg_score DESC, subject DESC, grade DESC, lab DESC LIMIT 10",
     "verdict_bands": "SELECT CASE WHEN least(greatest(score, 0), 100) >= 70 THEN 'correct' WHEN least(greatest(score, 0), 100) >= 40 THEN 'partial' ELSE 'incorrect' END AS band, lower(trim(verdict)) AS written, count(*) AS n FROM (SELECT DISTINCT * FROM grades) t GROUP BY ALL",
-    "eval_batches": "SELECT id // 15 AS batch, count(*) AS pairs, min(id) AS first_id, sum(length(coalesce(answer, '')))::BIGINT AS answer_chars FROM (SELECT DISTINCT id, subject, q, expected, answer FROM eval_slim) t GROUP BY batch",
+    "eval_batches": "SELECT b AS batch, count(*) AS pairs, min(id) AS first_id, sum(length(answer))::BIGINT AS answer_chars FROM (SELECT *, (row_number() OVER (ORDER BY id, subject NULLS FIRST, q NULLS FIRST, expected, answer) - 1) // 15 AS b FROM (SELECT DISTINCT id, subject, q, coalesce(expected, '') AS expected, coalesce(answer, '') AS answer FROM eval_slim) t) u GROUP BY b",
     "queue_status": "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in jobs.STATUSES) + " FROM (SELECT DISTINCT ON (id) id, status FROM jobs) t",
     "job_counters": f"WITH {ITEMS} SELECT job_id, count(*) AS total, {COUNTS}, first(id ORDER BY position, id) FILTER (WHERE status = 'running') AS current_item FROM i GROUP BY job_id",
     "terminal_status": f"WITH {ITEMS}, c AS (SELECT job_id, {COUNTS} FROM i GROUP BY job_id) SELECT job_id, {DERIVED} AS derived_status FROM c",
     "status_mismatch": f"WITH {ITEMS}, c AS (SELECT job_id, {COUNTS} FROM i GROUP BY job_id), x AS (SELECT job_id, {DERIVED} AS derived_status FROM c) SELECT status, derived_status, count(*) AS jobs FROM (SELECT DISTINCT id, status FROM jobs) j LEFT JOIN x ON j.id = x.job_id GROUP BY ALL",
     "job_list_order": """SELECT id, status, epoch_us(created_at) AS created_us FROM (SELECT DISTINCT ON (id) id, status, created_at FROM jobs) t ORDER BY CASE status WHEN 'running' THEN 0 WHEN 'queued' THEN 1 ELSE 2 END,
         CASE WHEN status IN ('running', 'queued') THEN created_at END ASC NULLS LAST, CASE WHEN status NOT IN ('running', 'queued') THEN created_at END DESC NULLS LAST, id LIMIT 200""",
-    "claim_next": "SELECT kind, first(id ORDER BY created_at, id) AS id FROM jobs WHERE status = 'queued' GROUP BY kind",
+    "claim_next": """WITH f AS (SELECT first(id ORDER BY created_at, id) AS id FROM jobs WHERE status = 'queued')
+        SELECT 'free' AS "at", id FROM f WHERE id IS NOT NULL UNION ALL SELECT 'now', id FROM f WHERE id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM jobs WHERE status = 'running')""",
+    "delete_job_cascade": f"WITH {ITEMS}, j AS (SELECT DISTINCT ON (id) id, status FROM jobs), k AS (SELECT * FROM j WHERE status IS DISTINCT FROM 'failed'), n AS (SELECT k.status, count(*) AS items FROM i JOIN k ON i.job_id = k.id GROUP BY k.status) SELECT k.status, count(*) AS jobs, any_value(n.items) AS items FROM k LEFT JOIN n ON n.status = k.status GROUP BY k.status",
+    "zip_manifest_items": f"""WITH {ITEMS}, a AS (SELECT job_id, relative_path, row_number() OVER (PARTITION BY job_id ORDER BY position, id) AS n FROM i), m AS (SELECT DISTINCT manifest_id, job_id, relative_path AS other FROM upload_manifest), b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY manifest_id) AS n FROM m)
+        SELECT a.job_id, count(*) AS pairs, count(*) FILTER (WHERE relative_path = other) AS same FROM a JOIN b ON a.job_id = b.job_id AND a.n = b.n GROUP BY a.job_id""",
+    "next_per_kind": "SELECT kind, first(id ORDER BY created_at, id) AS id FROM jobs WHERE status = 'queued' GROUP BY kind",
     "retry_items": f"WITH {ITEMS} SELECT job_id, id, position, row_number() OVER (PARTITION BY job_id ORDER BY position, id) - 1 AS new_position FROM i WHERE status IN ('failed', 'cancelled')",
     "job_items_nested": f"WITH {ITEMS}, n AS (SELECT job_id, count(*) AS items, md5(string_agg(id, ',' ORDER BY position, id)) AS m FROM i GROUP BY job_id) SELECT j.id, j.status, coalesce(items, 0) AS items, coalesce(m, md5('')) AS order_md5 FROM (SELECT DISTINCT id, status FROM jobs) j LEFT JOIN n ON j.id = n.job_id",
     "worker_online": "SELECT user_id, epoch(date_trunc('second', max(ts))) >= epoch(date_trunc('second', (SELECT max(ts) FROM events))) - 900 AS online FROM events GROUP BY user_id",
     "job_durations": """SELECT kind, count(*) AS jobs, sum(date_diff('second', date_trunc('second', created_at), date_trunc('second', started_at)))::BIGINT AS wait_s, sum(date_diff('second', date_trunc('second', started_at), date_trunc('second', finished_at)))::BIGINT AS run_s,
         max(date_diff('second', date_trunc('second', started_at), date_trunc('second', finished_at))) AS longest_s FROM (SELECT DISTINCT id, kind, created_at, started_at, finished_at FROM jobs) t GROUP BY kind""",
-    "chunk_counts_match": f"WITH {ITEMS}, c AS (SELECT doc_id, count(DISTINCT point_id) AS points FROM chunks WHERE generation = active_generation GROUP BY doc_id) SELECT i.id, i.chunks, c.points FROM i JOIN c ON i.file_id = c.doc_id WHERE i.chunks IS DISTINCT FROM c.points",
+    "chunk_counts_match": f"WITH {ITEMS}, c AS (SELECT doc_id, count(DISTINCT point_id) AS points FROM chunks WHERE {VISIBLE} GROUP BY doc_id) SELECT i.id, i.chunks, coalesce(c.points, 0) AS points FROM i LEFT JOIN c ON i.file_id = c.doc_id WHERE i.file_id IS NOT NULL AND i.chunks IS DISTINCT FROM coalesce(c.points, 0)",
     "late_records": "SELECT floor(date_diff('second', date_trunc('second', finished_at), date_trunc('second', recorded_at)) / 86400.0)::BIGINT AS days_late, count(*) AS items FROM (SELECT DISTINCT * FROM job_items WHERE finished_at IS NOT NULL AND recorded_at IS NOT NULL) t GROUP BY days_late",
     "manifest_summary": "SELECT doc_type, subject, count(*) AS files, count(*) FILTER (WHERE subject IS NULL OR grade IS NULL OR lang IS NULL) AS incomplete, count(*) FILTER (WHERE ocr) AS scanned, count(DISTINCT job_id) AS jobs FROM (SELECT DISTINCT * FROM upload_manifest) t GROUP BY ALL",
-    "duplicate_uploads": "SELECT relative_path, count(DISTINCT manifest_id) AS times, min(manifest_id) AS first_id FROM upload_manifest GROUP BY relative_path HAVING count(DISTINCT manifest_id) > 1",
+    "duplicate_uploads": "SELECT filename, count(DISTINCT manifest_id) AS times, min(manifest_id) AS first_id FROM upload_manifest GROUP BY filename HAVING count(DISTINCT manifest_id) > 1",
     "events_tumbling": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "events_sliding": "SELECT time_bucket(INTERVAL 15 MINUTE, ts) - k * INTERVAL 15 MINUTE AS window_start, count(*) AS n FROM events, (SELECT unnest(range(4)) AS k) r GROUP BY ALL",
     "events_session": """WITH a AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events), b AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a)

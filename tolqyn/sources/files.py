@@ -10,11 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tolqyn.operators import store
+from tolqyn.runtime import staged
+
 SUFFIXES = ("pdf", "docx", "txt", "md", "epub")
 
 
 def corpus_files(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
-    """path, relative_path, suffix, length, content of every file of a known kind below root, any case of suffix."""
+    """path, relative_path, suffix, length, content of every file of a known kind below root, any case of suffix. The root must be a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
+        raise NotADirectoryError(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = re.sub(r"^file:/*", "/", root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(plain) + "/", "")
@@ -48,7 +55,12 @@ def _epub(data: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = [n for n in z.namelist() if n.lower().endswith((".xhtml", ".html", ".htm"))]
         order = sorted(names)
+        if "mimetype" in z.namelist() and z.read("mimetype").strip() != b"application/epub+zip":
+            raise KeyError("mimetype is not that of an EPUB")
         opf = next((n for n in z.namelist() if n.endswith(".opf")), None)
+        if "META-INF/container.xml" in z.namelist():
+            root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+            opf = next((e.get("full-path") for e in root.iter() if e.tag.rpartition("}")[2] == "rootfile"), opf)
         if opf:
             tree = ElementTree.fromstring(z.read(opf))
             by_id = {e.get("id"): e.get("href") for e in tree.iter() if e.tag.rpartition("}")[2] == "item"}
@@ -119,9 +131,56 @@ def scenarios(spark: SparkSession, path: str) -> DataFrame:
     return got.withColumn("file", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
-def write_store(points: DataFrame, path: str) -> None:
-    """Points by collection; only the collections written are replaced."""
-    points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(path)
+def batch_caps(rows: DataFrame, batch: str, size: str, most_files: int, most_total: int, most_file: int) -> DataFrame:
+    """Per batch: files, their total size, empty and too large ones, and whether the batch is refused."""
+    n = F.col(size)
+    got = rows.groupBy(batch).agg(F.count("*").alias("files"), F.sum(n).alias("total"), F.count_if(n == 0).alias("empty_files"), F.count_if(n > most_file).alias("large_files"))
+    return got.withColumn("refused", (F.col("files") > most_files) | (F.col("total") > most_total) | (F.col("large_files") > 0))
+
+
+def bulk_summary(docs: DataFrame) -> DataFrame:
+    """Documents that are ready, empty, or skipped as their path tells no subject: by language, and in all (lang null)."""
+    state = F.when(F.col("subject").isNull(), "skipped").when(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) == "", "empty").otherwise("ready")
+    rows = docs.select("lang", state.alias("s"))
+    counts = [F.count("*").alias("total"), *[F.count_if(F.col("s") == x).alias(x) for x in ("ready", "empty", "skipped")]]
+    return rows.groupingSets([[F.col("lang")], []], F.col("lang")).agg(*counts)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def ensure_store(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty store, unless one is there."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+
+
+BUCKETS = 64
+
+
+def write_store(points: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """All points of the documents that occur in `points`; other documents stay as they are. The store is kept by collection and bucket of
+    documents; only the buckets that are touched are written again."""
+    spark = points.sparkSession
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    rows = points.withColumn("bucket", bucket)
+    if _exists(spark, path):
+        old = spark.read.parquet(path)
+        touched = rows.select("collection", "bucket").distinct()
+        kept = old.join(touched, ["collection", "bucket"], "left_semi").join(rows.select("collection", "doc_id").distinct(), ["collection", "doc_id"], "left_anti")
+        rows = rows.unionByName(kept, allowMissingColumns=True)
+    rows = staged(rows, "store")  # as the store is read and written
+    rows.repartition("collection", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(path)
+
+
+def upload(points: DataFrame, path: str) -> None:
+    """A staged generation into the store: complete documents become active, their older generations are superseded."""
+    spark = points.sparkSession
+    old = spark.read.parquet(path).drop("bucket") if _exists(spark, path) else points.limit(0)
+    old = old.join(points.select("collection", "doc_id").distinct(), ["collection", "doc_id"], "left_semi")
+    again = old.join(points.select("collection", "point_id").distinct(), ["collection", "point_id"], "left_anti")  # the same generation uploaded again
+    write_store(store.replace_generation(again, points), path)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
