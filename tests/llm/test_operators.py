@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -207,7 +209,7 @@ def test_fit_without_rows(spark):
 
 
 def test_language_held_out(spark, data):
-    d = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    d = spark.read.parquet(str(Path(data).parent / "sf0.01" / "documents.parquet"))
     model = language.fit(d.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
     rest = d.where("doc_id % 2 = 1").withColumn("named", language.named_language(F.col("lang"))).where("named is not null")
     got = language.assign_languages(rest, model, segments=False).where("size(languages.langs) = 1").select("named", F.col("languages.langs")[0].alias("l")).toPandas()
@@ -406,7 +408,7 @@ def test_abuse(spark, abuse_model, text, kinds):
 
 def test_insults_that_no_seed_names(spark, data):
     """With half of the seed words, reviews and shared subwords find most of what all of them find, and next to nothing else."""
-    tables = data.replace("sf0.001", "sf0.1")
+    tables = str(Path(data).parent / "sf0.1")
     docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "review_labels"))
     all_, half = ({tuple(r) for r in abuse.flagged(abuse.score_documents(docs, abuse.fit(docs, labels, every=n))).collect()} for n in (1, 2))
     assert len(half & all_) >= 0.75 * len(all_) and len(half & all_) >= 0.97 * len(half)
