@@ -83,17 +83,19 @@ TABLE_MARKS = r"[|*_`#>:()\[\]{}+\-/\\]"
 PAGE_TOKEN = r"(?i)(^|[^\p{L}\p{N}_])page\s*\d{1,5}\b"
 
 
+NOTICE = f"{NOTICE_SITE}|^({'|'.join(NOTICE_STARTS)})"
+
+
 def is_artifact(line: Column) -> Column:
-    """A watermark, a rule of a table, a page label, or a row of at least four bare numbers."""
-    flat = F.trim(F.regexp_replace(line, r"\s+", " "))
-    folded = F.btrim(F.lower(flat), F.lit(" *_`#>|-"))
+    """A watermark, a rule of a table, a page label, or a row of at least four bare numbers.
+
+    The shape of labels and rows is looked at only in lines without other letters than those of "page"."""
+    folded = F.btrim(F.lower(F.trim(F.regexp_replace(line, r"\s+", " "))), F.lit(" *_`#>|-"))
     plain = F.trim(F.regexp_replace(F.regexp_replace(line, TABLE_MARKS, " "), r"\s+", " "))
-    notice = folded.rlike(NOTICE_SITE)
-    for start in NOTICE_STARTS:
-        notice = notice | folded.startswith(start)
     label = F.lower(plain).rlike(r"^page ?[0-9]{1,5}( [0-9]{1,5})*$")
     numbers = plain.rlike("^[0-9 ]+$") & (F.size(F.regexp_extract_all(plain, F.lit("[0-9]{1,5}"), F.lit(0))) >= 4)
-    return (flat != "") & (notice | (line.rlike(RULE) & line.rlike("[|_-]")) | label | numbers)
+    bare = ~F.lower(line).rlike(r"[\p{L}&&[^page]]") & (label | numbers)
+    return line.rlike(r"\S") & (bare | (line.rlike(RULE) & line.rlike("[|_-]")) | folded.rlike(NOTICE))
 
 
 def clean_extraction(text: Column) -> Column:
@@ -106,7 +108,7 @@ def clean_extraction(text: Column) -> Column:
         return F.size(tokens(x)).between(1, 12) & (F.length(x) <= 140) & ~F.lower(x).rlike(r"[.!?…][\s*_`]*$")
 
     def cut(kept: Column) -> Column:
-        often = repeated(F.filter(F.transform(kept, F.lower), short), 4)
+        often = F.filter(repeated(F.transform(kept, F.lower), 4), short)
         return F.get(F.transform(F.array(often), lambda bad: F.when(dominates(kept, bad), F.filter(kept, lambda x: ~F.array_contains(bad, F.lower(x)))).otherwise(kept)), 0)
 
     def dominates(kept: Column, bad: Column) -> Column:
