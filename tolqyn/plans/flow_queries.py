@@ -127,6 +127,11 @@ TERMS = r"""list_distinct(list_transform(list_filter(regexp_extract_all(replace(
 GENERIC = "'^(" + "|".join(u.GENERIC_STEMS) + ")'"
 
 SQL = {
+    "sentence_chunks": r"""WITH RECURSIVE a AS (SELECT DISTINCT answer_id, answer FROM answer_results WHERE answer <> ''), p AS (SELECT answer_id, string_split(regexp_replace(answer, '([.!?…])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM a),
+        f AS (SELECT answer_id, parts, 0 AS i, '' AS held, []::VARCHAR[] AS got FROM p UNION ALL
+          SELECT answer_id, parts, i + 1, CASE WHEN length(now) >= 20 THEN '' ELSE now END, CASE WHEN length(now) >= 20 THEN list_append(got, now) ELSE got END FROM (SELECT *, trim(held || ' ' || parts[i + 1]) AS now FROM f WHERE i < len(parts)) t),
+        s AS (SELECT answer_id, unnest(CASE WHEN held <> '' THEN list_append(got, held) ELSE got END) AS x FROM f WHERE i = len(parts))
+        SELECT answer_id, count(*) AS sentences, max(length(x)) AS longest FROM s GROUP BY answer_id""",
     "answer_deltas": """WITH a AS (SELECT DISTINCT answer_id, answer, ceil(length(answer) / 80.0)::BIGINT AS k FROM answer_results)
         SELECT answer_id, 'delta' AS kind, k AS rows, length(answer)::BIGINT AS chars, k - 1 AS last_seq FROM a WHERE k > 0 UNION ALL SELECT answer_id, CASE WHEN answer IS NULL THEN 'error' ELSE 'done' END, 1, 0, coalesce(k, 0) FROM a""",
     "answer_cache": r"""SELECT sha256(lower(trim(regexp_replace(question, '\s+', ' ', 'g'))) || chr(10) || coalesce(lab_id, '-')) AS key, count(*) AS asked, min(answer_id) AS first_id FROM (SELECT DISTINCT answer_id, question, lab_id FROM answer_results WHERE question IS NOT NULL) t GROUP BY key HAVING count(*) > 1""",

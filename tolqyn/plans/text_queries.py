@@ -205,6 +205,8 @@ l AS (SELECT *, greatest(ru_score, kk_score, en_score) AS best FROM s)
 """
 BEST = "CASE WHEN best > 0 AND (ru_score = best)::INT + (kk_score = best)::INT + (en_score = best)::INT = 1 THEN CASE WHEN ru_score = best THEN 'ru' WHEN kk_score = best THEN 'kk' ELSE 'en' END END"
 MESSAGES = "r AS (SELECT DISTINCT answer_id, conversation_id, created_at AS ts, question, answer FROM answer_results WHERE conversation_id IS NOT NULL), m AS (SELECT conversation_id, answer_id, ts, 0 AS half, 'user' AS role, question AS text FROM r UNION ALL SELECT conversation_id, answer_id, ts, 1, 'assistant', answer FROM r)"
+# the scores of other questions: asked(id, q) stands for the pairs
+ASKED_SCORES = SCORES.replace("FROM eval_slim", "FROM asked")
 TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 LINES = r"list_filter(list_transform(string_split(lower(text), chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: {0})"
 
@@ -212,6 +214,18 @@ PROCEDURE_SQL = u.PROCEDURE.replace(r"\w", r"[\p{L}\p{N}_]")
 INFO = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
 
 
+def _subject_sql(words: str) -> str:
+    """The subject that a list of words names, null if none or several do."""
+    n = {k: f"len(list_filter({words}, lambda x: regexp_matches(x, {_stems(v)})))" for k, v in u.SUBJECT_STEMS.items()}
+    alone = [f"WHEN {n[k]} > greatest({', '.join(v for j, v in n.items() if j != k)}) THEN '{k}'" for k in n]
+    return f"CASE {' '.join(alone)} END"
+
+
+def _terms_sql(text: str) -> str:
+    kept = rf"list_filter(regexp_extract_all(replace(lower({text}), 'ё', 'е'), '\p{{L}}+'), lambda x: length(x) >= 4 AND NOT regexp_matches(x, {_stems(u.GENERIC_STEMS)}))"
+    return f"list_transform({kept}, lambda x: CASE WHEN regexp_matches(x, '[а-яәғқңөұүһі]') THEN substring(x, 1, 3) ELSE substring(x, 1, 4) END)"
+
+
 def _artifact_sql(x: str) -> str:
     folded = f"trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'), ' *_`#>|-')"
     plain = f"trim(regexp_replace(regexp_replace({x}, '{quality.TABLE_MARKS}', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -242,6 +256,8 @@ SQL = {
     "chunk_documents": f"WITH {_chunks_sql(800, 680)} SELECT doc_id, chunk_index, char_start, char_end, md5(chunk) AS chunk_md5 FROM c",
     "chunk_counts_by_lang": f"WITH {_chunks_sql(800, 680)} SELECT lang, count(*) AS chunks, count(DISTINCT doc_id) AS documents, sum(length(chunk))::BIGINT AS chars FROM c GROUP BY lang",
     "chunk_small_windows": f"WITH {_chunks_sql(400, 300)} SELECT doc_id, count(*) AS chunks, max(char_end) AS last_end FROM c GROUP BY doc_id",
+    "doc_uuid5": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_key)) AS h FROM documents)
+        SELECT doc_id, substring(h, 1, 12) || '5' || substring(h, 14, 3) || translate(substring(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substring(h, 18, 15) AS key_uuid FROM h""",
     "reconstruct_text": "SELECT true AS same, count(*) AS documents FROM documents",
     "page_overlap_join": r"""WITH p AS (SELECT file_id, page_no, max(length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))) AS n FROM ocr_pages GROUP BY ALL),
         s AS (SELECT *, coalesce(sum(CASE WHEN n > 0 THEN n + 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM p),
@@ -280,6 +296,12 @@ SQL = {
     "scope_terms": rf"""WITH a AS (SELECT id, list_filter(regexp_extract_all(replace(lower(q), 'ё', 'е'), '\p{{L}}+'), lambda x: length(x) >= 4 AND NOT regexp_matches(x, {_stems(u.GENERIC_STEMS)})) AS w FROM eval_slim)
         SELECT id, array_to_string(list_sort(list_distinct(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[а-яәғқңөұүһі]') THEN substring(x, 1, 3) ELSE substring(x, 1, 4) END))), ' ') AS terms FROM a""",
     "procedure_intent": f"SELECT id, coalesce(regexp_matches(lower(q), '{PROCEDURE_SQL}'), false) AS is_procedure FROM eval_slim",
+    "scope_gate": f"""WITH asked AS (SELECT DISTINCT q AS id, q FROM eval_slim), {ASKED_SCORES}, la AS (SELECT id AS q, {BEST} AS lang FROM l),
+        e AS (SELECT id, e.q, lang, subject, {_subject_sql(W.format('e.q'))} AS own, {_terms_sql('e.q')} AS qt, {_terms_sql("coalesce(expected, '')")} AS st FROM eval_slim e LEFT JOIN la ON e.q = la.q),
+        g AS (SELECT id, lang, coalesce(regexp_matches(lower(q), '{PROCEDURE_SQL}'), false) OR coalesce(own = subject, len(qt) = 0 OR len(st) = 0 OR list_has_any(qt, st), false) AS allowed FROM e)
+        SELECT id, CASE WHEN allowed THEN '' WHEN lang = 'kk' THEN '{u.REFUSALS["kk"]}' WHEN lang = 'en' THEN '{u.REFUSALS["en"]}' ELSE '{u.REFUSALS["ru"]}' END AS refusal FROM g""",
+    "language_by_conversation": f"""WITH {MESSAGES}, asked AS (SELECT DISTINCT text AS id, text AS q FROM m WHERE role = 'user'), {ASKED_SCORES}, la AS (SELECT id AS text, {BEST} AS lang FROM l)
+        SELECT conversation_id, first(lang ORDER BY ts DESC NULLS LAST, answer_id DESC) AS language FROM m JOIN la USING (text) WHERE role = 'user' AND lang IS NOT NULL GROUP BY conversation_id""",
     "trim_history": f"""WITH {MESSAGES}, b AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ts DESC NULLS LAST, answer_id DESC, half DESC) AS back FROM m QUALIFY back <= 6),
         c AS (SELECT *, sum(length(coalesce(text, ''))) OVER (PARTITION BY conversation_id ORDER BY back ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM b) SELECT conversation_id, answer_id, role, back, used FROM c WHERE back = 1 OR used <= 600""",
     "latest_user_message": f"WITH {MESSAGES} SELECT conversation_id, first(text ORDER BY ts DESC NULLS LAST, answer_id DESC) AS question FROM m WHERE role = 'user' AND text <> '' GROUP BY conversation_id",
