@@ -20,7 +20,6 @@ judged row by row and give each defect once; texts of any length are read whole.
 
 import re
 from collections import Counter
-from itertools import repeat
 
 import ahocorasick
 import pyarrow as pa
@@ -228,43 +227,47 @@ def declines(text: Text) -> bool:
     return any_
 
 
-def _vote(w: str) -> tuple[int, int, float, float, float]:
-    """What a word says: letters of Cyrillic or Latin, and votes for ru, kk and en."""
+def _vote(w: str) -> tuple[int, int, int, int, int]:
+    """What a word says: letters of Cyrillic or Latin, and votes for ru, kk and en in tenths."""
     if re.search(r"\d", w):
-        return 0, 0, 0.0, 0.0, 0.0
+        return 0, 0, 0, 0, 0
     latin, own = bool(re.match("[a-z]", w)), bool(_KK.search(w))
     cyrillic = not latin and (re.match("[а-яё]", w) is not None or _KK.match(w) is not None)
-    votes = {"ru": 0.0, "kk": 0.0, "en": 0.0}
+    votes = {"ru": 0, "kk": 0, "en": 0}
     if w in _STOP:
-        votes[_STOP[w]] += 1
+        votes[_STOP[w]] += 10
     if own:
-        votes["kk"] += 1.5
+        votes["kk"] += 15
     elif len(w) > 4 and not latin:
         for lang in ("ru", "kk"):
-            votes[lang] += 0.5 * w.endswith(ENDINGS[lang])
-        votes["ru"] += 0.3  # a Kazakh word of this length mostly has a letter of its own
+            votes[lang] += 5 * w.endswith(ENDINGS[lang])
+        votes["ru"] += 3  # a Kazakh word of this length mostly has a letter of its own
     elif len(w) > 4:
-        votes["en"] += 0.5 * w.endswith(ENDINGS["en"]) + 0.1
+        votes["en"] += 5 * w.endswith(ENDINGS["en"]) + 1
     return int(cyrillic and len(w) > 2), int(latin and len(w) > 2), votes["ru"], votes["kk"], votes["en"]
 
 
-_VOTES: dict[str, tuple] = {}  # by word, in each task's process; emptied when full
+class _Votes(dict):
+    """Votes by word, in each task's process."""
+
+    def __missing__(self, w: str):
+        v = self[w] = _vote(w)
+        return v
+
+
+_VOTES = _Votes()  # emptied when full
 
 
 def voted_language(text: Text) -> str | None:
-    cyrillic = latin = 0
-    ru = kk = en = 0.0
-    for w in text.words:
-        v = _VOTES.get(w)
-        if v is None:
-            if len(_VOTES) > 200_000:
-                _VOTES.clear()
-            v = _VOTES[w] = _vote(w)
-        cyrillic, latin, ru, kk, en = cyrillic + v[0], latin + v[1], ru + v[2], kk + v[3], en + v[4]
-    votes = {"ru": 0.0 if latin > 2 * cyrillic else ru, "kk": 0.0 if latin > 2 * cyrillic else kk, "en": 0.0 if cyrillic > 2 * latin else en}
+    if not text.words:
+        return None
+    if len(_VOTES) > 200_000:
+        _VOTES.clear()
+    cyrillic, latin, ru, kk, en = map(sum, zip(*map(_VOTES.__getitem__, text.words)))
+    votes = {"ru": 0 if latin > 2 * cyrillic else ru, "kk": 0 if latin > 2 * cyrillic else kk, "en": 0 if cyrillic > 2 * latin else en}
     best = max(votes, key=lambda k: votes[k])
     others = max(v for k, v in votes.items() if k != best)
-    return best if votes[best] >= 0.8 and votes[best] > others else None
+    return best if votes[best] >= 8 and votes[best] > others else None
 
 
 _PAIRS = {")": "(", "]": "[", "}": "{", "»": "«"}
@@ -333,44 +336,75 @@ def _judged(prompt: Text, expected: Text, answer: Text) -> list[tuple[str | None
     return out
 
 
-def _ends(text: Text, pairs: Counter, words: Counter) -> None:
-    """Counts pairs of words and words of sentences that have an end mark other than an ellipsis: (tail or word, ends the sentence)."""
-    for s, part in zip(text.sents, text.parts):
-        end = _ELLIPSIS.sub("", s.rstrip("\"'»”’)* "))[-1:]
-        if end and end in END_MARKS and part:
-            own = _masked(part)
-            words.update(zip(own[:-1], _NEVER))
-            words[own[-1], True] += 1
-            if len(own) > 1:
-                two = [f"{a} {b}" for a, b in zip(own, own[1:])]
-                pairs.update(zip(two[:-1], _NEVER))
-                pairs[two[-1], True] += 1
-            else:
-                pairs[own[-1], True] += 1
+class Ends:
+    """Counts of a task: word pairs and words in all places of ended sentences, and at their ends. Sentences are gathered and counted
+    together."""
+
+    def __init__(self):
+        self.gathered: list[list] = [[], [], [], []]
+        self.counts = [Counter() for _ in self.gathered]
+
+    def read(self, text: Text) -> None:
+        """Takes the sentences of a text that have an end mark other than an ellipsis."""
+        pairs, pair_ends, words, word_ends = self.gathered
+        digits = _DIGITS.search(text.low) is not None
+        for s, part in zip(text.sents, text.parts):
+            if part and _end_mark(s):
+                own = _masked(part) if digits else part
+                words += own
+                word_ends.append(own[-1])
+                if len(own) > 1:
+                    two = list(zip(own, own[1:]))
+                    pairs += two
+                    pair_ends.append(two[-1])
+                else:
+                    pairs.append((own[-1],))
+                    pair_ends.append((own[-1],))
+        if len(words) > GATHERED:
+            self.count()
+
+    def count(self) -> int:
+        for seen, items in zip(self.counts, self.gathered):
+            seen.update(items)
+            items.clear()
+        return max(map(len, self.counts))
+
+    def parts(self):
+        """(name of the part, its words, how often they end a sentence, in how many places they stand)."""
+        self.count()
+        for name, all_, ends in (("tail", *self.counts[:2]), ("last", *self.counts[2:])):
+            words = list(all_)
+            yield name, [" ".join(w) for w in words] if name == "tail" else words, [ends[w] for w in words], list(all_.values())
+            all_.clear()
+            ends.clear()
+
+
+def _end_mark(sentence: str) -> bool:
+    """Whether the sentence has an end mark that is no ellipsis."""
+    s = sentence.rstrip("\"'»”’)* ")
+    if s.endswith("…") or s.endswith(".") and (s[-2:-1] in ".…" or s[-2:-1].isspace()):
+        s = _ELLIPSIS.sub("", s)
+    return s != "" and s[-1] in END_MARKS
 
 
-_NEVER = repeat(False)
 READ = "field string, key {key}, defect string, tail string, last string, coverage double, ends bigint, places bigint"
 COLUMNS = [x.split()[0] for x in READ.split(", ")]
 
 
 FLUSH = 300_000  # counts that a task holds before it gives them out
+GATHERED = 50_000  # words that a task holds before it counts them
 
 
 def _read(batches):
     """Verdicts of both fields of each row, and counts of the task: under `field` "tail" and "last"."""
-    counts = {"tail": Counter(), "last": Counter()}
+    counts = Ends()
 
     def counted():
-        for field, seen in counts.items():
-            words = list({w for w, _ in seen})
-            ends = [seen[w, True] for w in words]
-            places = [n + seen[w, False] for w, n in zip(words, ends)]
+        for field, words, ends, places in counts.parts():
             own, none = pa.array(words, pa.string()), pa.nulls(len(words), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([field] * len(words), pa.string()), pa.nulls(len(words), key_type), none, *((own, none) if field == "tail" else (none, own)), pa.nulls(len(words), pa.float64()), pa.array(ends, pa.int64()), pa.array(places, pa.int64())], COLUMNS,
             )
-            seen.clear()
 
     key_type = None
     for batch in batches:
@@ -380,14 +414,14 @@ def _read(batches):
             q, e, a = (Text(x) for x in texts)
             rows += _judged(q, e, a)
             for text in (q, e, a):
-                _ends(text, counts["tail"], counts["last"])
+                counts.read(text)
         if rows:
             defect, tail, last, share = zip(*rows)
             key = batch.column("key").take(pa.array([i // 2 for i in range(len(rows))]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(["expected", "answer"] * batch.num_rows), key, *(pa.array(x, pa.string()) for x in (defect, tail, last)), pa.array(share, pa.float64()), pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64())], COLUMNS,
             )
-        if max(map(len, counts.values())) > FLUSH:
+        if counts.count() > FLUSH:
             yield from counted()
     if key_type is not None:
         yield from counted()
