@@ -20,6 +20,7 @@ one file and page number the smallest page id continues the page before; ties be
 import math
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,11 @@ HYPHENS = "-‐‑¬\xad"
 _CUT = re.compile(rf"([^\W\d_])[{HYPHENS}]\s*$")
 
 
+def cut_at(line: str) -> re.Match | None:
+    """Where a line ends within a word, else None."""
+    return _CUT.search(line) if line.rstrip()[-1:] in HYPHENS else None
+
+
 def _classes() -> dict[str, str]:
     """Glyphs that may stand for each other, by single letters, share a representative."""
     root: dict[str, str] = {}
@@ -122,6 +128,18 @@ def as_number(token: str, sure: bool = False) -> int | None:
 
 def _page_word(token: str) -> bool:
     """Short words must be exact, as single letters look like digits."""
+    known = _PAGE_WORDS.get(token)
+    if known is None:
+        if len(_PAGE_WORDS) > 100_000:
+            _PAGE_WORDS.clear()
+        known = _PAGE_WORDS[token] = _looks_paged(token)
+    return known
+
+
+_PAGE_WORDS: dict[str, bool] = {}  # tokens met at edges in a task's process; emptied when full
+
+
+def _looks_paged(token: str) -> bool:
     return token.lower() in PAGE_WORDS or len(token) > 2 and not re.search(r"\d", token) and glyph_key(token) in _PAGE_KEYS
 
 
@@ -130,7 +148,7 @@ def numbers_only(line: str) -> int | None:
     tokens = re.findall(r"[^\W_]+|\|", line)
     if len(tokens) > 9:
         return None
-    rest = [t for t in tokens if not _page_word(t)]
+    rest = list(islice((t for t in tokens if not _page_word(t)), 4))
     if len(rest) > 3:
         return None
     paged = len(rest) < len(tokens)
@@ -227,8 +245,8 @@ def _bodies(batches):
                 body.pop(0)
             while body and not body[-1].strip():
                 body.pop()
-            broken = any(_CUT.search(x) for x in body)
-            out.append((page_id, file_id, page_no, header, number, broken, "\n".join(body), body[0].split()[0] if body else None, bool(body and _CUT.search(body[-1]))))
+            broken = any(map(cut_at, body))
+            out.append((page_id, file_id, page_no, header, number, broken, "\n".join(body), body[0].split()[0] if body else None, bool(body and cut_at(body[-1]))))
         yield _batch(out, BODY)
 
 
@@ -249,7 +267,7 @@ def _flow(body: list[str], head: str | None, drop: bool) -> list[str]:
     width = max((len(x) for x in lines), default=0)
     paragraphs, now = [], ""
     for i, line in enumerate(lines):
-        cut = _CUT.search(line)
+        cut = cut_at(line)
         nxt = lines[i + 1] if i + 1 < len(lines) else None
         text = line.strip()
         if cut and (nxt is not None and nxt.strip() or nxt is None and head):
@@ -269,8 +287,7 @@ def _flow(body: list[str], head: str | None, drop: bool) -> list[str]:
         else:
             room = len(line) + 1 + len(nxt.split()[0]) <= width
             heading = now == text and text[0].isupper() and nxt.lstrip()[0].isupper()
-            bare = not re.search(r"[^\W\d_]", nxt)
-            ends = room and (bool(re.search(r"[.!?…;:][\"»)]*$", text)) or heading or bare) or not re.search(r"[^\W\d_]", text)
+            ends = room and (heading or bool(_STOPPED.search(text)) or not _LETTER.search(nxt)) or not _LETTER.search(text)
         if ends and now:
             paragraphs.append(now)
             now = ""
@@ -279,6 +296,8 @@ def _flow(body: list[str], head: str | None, drop: bool) -> list[str]:
     return paragraphs
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+_STOPPED = re.compile(r"[.!?…;:][\"»)]*$")
 _OUTER = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -292,7 +311,7 @@ def word_of(token: str) -> str:
         if len(_SEEN) > 300_000:
             _SEEN.clear()
         w = _OUTER.sub("", token).lower()
-        w = _SEEN[token] = w if re.search(r"[^\W\d_]", w) else ""
+        w = _SEEN[token] = w if _LETTER.search(w) else ""
     return w
 
 
@@ -317,10 +336,11 @@ def read_pages(df: DataFrame) -> DataFrame:
     pages = staged(pages, "pages")
     edges = staged(pages.mapInArrow(_edges, EDGE), "page-edges")  # read three times below
     edges = edges.withColumn("shift", F.col("number") - F.col("page_no"))
-    headers = edges.where("key <> '' and not only").select("file_id", "key", "page_no").distinct().groupBy("file_id", "key").agg(F.count("*").alias("pages"))
-    shifts = edges.where("number is not null and (only or key <> '')").select("file_id", "key", "shift", "page_no").distinct().groupBy("file_id", "key", "shift").agg(F.count("*").alias("alike"))
+    headers = edges.where("key <> '' and not only").select("file_id", "key", "page_no").distinct().groupBy("file_id", "key").agg(F.count("*").alias("pages")).where("pages >= 2")
+    shifts = edges.where("number is not null and (only or key <> '')").select("file_id", "key", "shift", "page_no").distinct().groupBy("file_id", "key", "shift").agg(F.count("*").alias("alike")).where("alike >= 2")
     known = (
         edges.join(headers, ["file_id", "key"], "left").join(shifts, ["file_id", "key", "shift"], "left")
+        .where("pages >= 3 or number is not null")  # other lines are no furniture
         .groupBy("page_id").agg(F.collect_list(F.struct("slot", "key", "number", "only", "apart", F.coalesce("pages", F.lit(0)).alias("pages"), "alike")).alias("edges"))
     )
     body = pages.join(known, "page_id", "left").mapInArrow(_bodies, BODY)
