@@ -22,6 +22,8 @@ def test_runs_over_the_tables(spark, data, name):
     elif name == "p2_pieces":
         texts = spark.read.parquet(f"{data}/chunks.parquet").where("length(trim(text)) > 0").select("point_id").distinct().count()
         assert df.select("point_id").distinct().count() == texts
+    elif name == "p2_rebuilt":
+        assert df.count() > 0 and df.where("not within").count() == 0
     elif name == "p5_coverage":
         pairs = spark.read.parquet(f"{data}/eval_slim.parquet").select("id").distinct().count()
         assert df.count() == 2 * pairs and df.where("coverage not between 0 and 1").count() == 0 and df.where("coverage = 1").count() > 0

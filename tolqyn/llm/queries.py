@@ -25,6 +25,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(points).drop("text").distinct()
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each point give when their overlaps of 120 are taken off again, and whether every piece keeps the limit.
+    The pieces of one point travel together, as its text does."""
+    one = F.array_sort(F.collect_set(F.struct("piece_index", "piece")))
+    got = p2_pieces(spark, d).groupBy("point_id").agg(one.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.when(x["piece_index"] == 0, x["piece"]).otherwise(F.substring(x["piece"], 121, 800))), "")
+    longest = F.array_max(F.transform("p", lambda x: F.length(x["piece"])))
+    return got.select("point_id", F.md5(text).alias("text_md5"), (longest <= 800).alias("within"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "chunks").select("point_id", "text")
     return splitting.split_texts(points).where("piece_count > 1").select("point_id").distinct()
@@ -34,6 +44,11 @@ P2_FOUND = r"""
 SELECT DISTINCT point_id FROM chunks WHERE length(trim(regexp_replace(text, '\s+', ' ', 'g'))) > 800
 """
 
+P2_REBUILT = r"""
+WITH t AS (SELECT DISTINCT point_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM chunks)
+SELECT point_id, md5(flat) AS text_md5, true AS within FROM t WHERE flat <> ''
+"""
+
 
 def p3_model(spark: SparkSession, d: str) -> language.Model:
     return language.fit(table(spark, d, "documents"), "doc_id", "text", "lang")
@@ -139,7 +154,7 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_neighbours": p1_neighbours,
-        "p2_found": p2_found, "p2_pieces": p2_pieces,
+        "p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt,
         "p3_found": p3_found, "p3_languages": p3_languages,
         "p6_packed": p6_packed, "p6_fill": p6_fill,
         "p7_mixed": p7_mixed, "p7_shares": p7_shares,
@@ -150,4 +165,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND}
+    return {"p2_found": P2_FOUND, "p2_rebuilt": P2_REBUILT}
